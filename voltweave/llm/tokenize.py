@@ -8,10 +8,12 @@ together in numpy.  The table of words is emptied when it grows past a bound.
 from __future__ import annotations
 
 import os
+from itertools import chain, repeat
 
 import numpy as np
 
-END = 2
+#: Stops that end a run of letters for the tokenizer.
+STOPS = b".,"
 
 
 def default_tokenizer() -> str:
@@ -21,7 +23,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,14 +34,23 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in got]
+    def add(self, words: list[bytes], ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        at = len(self.known)
-        self.known.update(zip(words, range(at, at + len(words))))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+
+    def learn(self, words: list[bytes]) -> None:
+        # Stops after a letter are tokens of their own, so the word before them may be known.
+        stems = [w.rstrip(STOPS) for w in words]
+        apart = [s != w and s[-1:].isalpha() for s, w in zip(stems, words)]
+        plain = dict.fromkeys(w if not a else s for w, s, a in zip(words, stems, apart)) | dict.fromkeys(w[len(s) :] for w, s, a in zip(words, stems, apart) if a)
+        new = [w for w in plain if w not in self.known]
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        self.add(new, [e.ids for e in got])
+        both = [(w, self.known[s], self.known[w[len(s) :]]) for w, s, a in zip(words, stems, apart) if a]
+        flat, starts = self.flat, self.starts
+        self.add([w for w, _, _ in both], [[*flat[starts[i] : starts[i + 1]].tolist(), *flat[starts[j] : starts[j + 1]].tolist()] for _, i, j in both])
 
     def encode(self, texts: list[str | None], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text); ``end`` is added to each."""
@@ -50,11 +61,13 @@ class Encoder:
             b = (t or "").encode("utf-8", "replace")
             # Lower case first means fewer words; not where it could change what composes or what is a special token.
             split.append((b if b"<|" in b or b"\xcc" in b or b"\xcd" in b else b.lower()).split())
-        if new := list({w for s in split for w in s if w not in self.known}):
-            self.learn(new)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        known = self.known
-        words = np.fromiter((known[w] for s in split for w in s), np.int64, int(counts.sum()))
+        all_words = list(chain.from_iterable(split))
+        words = np.fromiter(map(self.known.get, all_words, repeat(-1)), np.int64, len(all_words))
+        if len(missing := np.flatnonzero(words < 0)):
+            absent = [all_words[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(absent)))
+            words[missing] = np.fromiter(map(self.known.__getitem__, absent), np.int64, len(absent))
         first, size = self.starts[words], self.starts[words + 1] - self.starts[words]
         per_text = np.zeros(len(split), np.int64)
         if len(words):
