@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, language_id, lm_score, media, mixing, packing, simhash, token_files
+from . import embedding_dedup, html_text, language_id, line_dedup, lm_score, media, mixing, packing, simhash, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.LineDedup(_read(spark, sf_dir, "documents", "doc_id", "text")).report()
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -61,10 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_packing": op8_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op6_embedding_dedup": embedding_dedup.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
 }
