@@ -1,4 +1,6 @@
 """All queries by name, with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .oracle import ORACLES
+from .queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
