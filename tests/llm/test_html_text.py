@@ -38,6 +38,11 @@ def test_plain_containers():
     assert ht.main_text(page) == "Some words of a story that goes on for a while, with a few sentences. Yes.\nAnd more words follow in another paragraph of it."
 
 
+def test_heads_in_and_out_of_an_article():
+    page = "<div class='page-header'><p>Site name and its motto, a sentence.</p></div><article><div class='entry-header'><h1 id='header-title'>The title</h1></div><p>A paragraph of the story, long enough.</p><div class='navlinks'><a href=1>next</a></div></article><label>Your name</label>"
+    assert ht.main_text(page) == "The title\nA paragraph of the story, long enough."
+
+
 def test_hidden_parts_and_unclosed_quotes_end_soon():
     assert ht.main_text("<article><p>Seen, in a sentence.</p><p style='display: none'>Not seen, though.</p><div hidden>Nor this one here.</div></article>") == "Seen, in a sentence."
     assert "word" in ht.main_text("<article><p>" + "word <a '" * 20_000)

@@ -31,17 +31,19 @@ from pyspark.sql import functions as F
 from .common import rows
 
 # Element names of HTML by their role here.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th caption figcaption summary tr tbody thead tfoot ul ol dl table address center hgroup".split())
 SILENT = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object canvas audio video datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 # What containers say for (positive) or against content, in log-odds.
-TAGS = {"article": 5.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -5.0, "button": -9.0, "select": -9.0, "option": -9.0, "menu": -9.0, "dialog": -9.0, "fieldset": -6.0, "legend": -6.0, "search": -9.0, "head": -12.0}
+TAGS = {"article": 5.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -5.0, "button": -9.0, "select": -9.0, "option": -9.0, "menu": -9.0, "dialog": -9.0, "label": -9.0, "fieldset": -6.0, "legend": -6.0, "search": -9.0, "head": -12.0}
 ROLES = {"navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "form": -9.0, "alert": -9.0, "dialog": -9.0, "alertdialog": -9.0, "menu": -9.0, "menubar": -9.0, "toolbar": -9.0, "main": 3.0, "article": 5.0}
 AGAINST = re.compile(
-    r"^(ad|ads|adv|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|menu\w*|nav|navi\w*|navbar\w*|sidebar\w*|rail|foot|footer\w*|head|header\w*|masthead|topbar|breadcrumb\w*|crumbs?|cookie\w*|consent|gdpr|notice\w*|notification\w*|alert\w*|warning|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|register|search\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|comment\w*|replies|reply|respond|discussion|disqus|feedback|widget\w*|toolbar\w*|tags?|pagination|pager|copyright|legal|disclaimer|skip|toc|hidden|print|jump|paywall|teaser\w*|outbrain|taboola)$"
+    r"^(ad|ads|adv|advert\w*|adbox\w*|adslot\w*|adunit\w*|adwrap\w*|adcontainer|adbanner|adblock|adspace|adtext|adsby\w*|adsense|aside|banner\w*|promo\w*|sponsor\w*|menu\w*|nav\w*|side|sidebar\w*|rail|foot|footer\w*|masthead|topbar|breadcrumb\w*|crumbs?|cookie\w*|consent|gdpr|privacy|notice\w*|notification\w*|alert\w*|warning|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|register|search\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|comment\w*|replies|reply|respond|discussion|disqus|feedback|widget\w*|toolbar\w*|tags?|pagination|pager|copyright|legal|disclaimer|skip|toc|hidden|print|jump|paywall|teaser\w*|outbrain|taboola)$"
 )
+#: Against a container unless it is inside an article, whose own head holds its title.
+HEAD = re.compile(r"^(head|header\w*)$")
 FOR = re.compile(r"^(article\w*|content|contents|post|entry|main|story|body|articlebody|prose|text)$")
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
@@ -72,7 +74,7 @@ class Box:
             elif name in ("class", "id", "itemprop"):
                 words = [w.lower() for w in NAME.findall(value)]
                 self.named |= bool(words)
-                if any(AGAINST.match(w) for w in words):
+                if any(AGAINST.match(w) or (HEAD.match(w) and not self.inside) for w in words):
                     signs.append(-9.0)
                 elif any(FOR.match(w) for w in words):
                     signs.append(2.0)
