@@ -33,6 +33,20 @@ def test_words_give_the_ids_of_whole_texts(texts):
         at += n
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abzAZéÉßİıſŸÿłŁŒœnN̈̃'.,! 1", max_size=40), max_size=4))
+def test_letters_and_marks(texts):
+    test_words_give_the_ids_of_whole_texts.hypothesis.inner_test(texts)
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello  world", "", None, " a b"]
+    ids, counts = Encoder(path).encode(texts, 7)
+    other = Tokenizer.from_file(path)
+    assert ids.tolist() == [i for t in texts for i in [*other.encode(t or "", add_special_tokens=False).ids, 7]] and counts.sum() == len(ids)
+
+
 def test_files_round_trip(make, odd):
     got = token_files.write_and_read(make(odd)).collect()
     assert len(got) == len(odd)

@@ -7,11 +7,17 @@ together in numpy.  The table of words is emptied when it grows past a bound.
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain, repeat
 
 import numpy as np
 
+# The steps before the model for which words can be taken apart.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters below this one have simple lower cases.
+PLAIN_LETTERS = "\u0250"
 #: Stops that end a run of letters for the tokenizer.
 STOPS = b".,"
 
@@ -28,6 +34,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
+        steps = json.loads(self.tokenizer.to_str())
+        before, split = steps.get("normalizer") or {}, steps.get("pre_tokenizer") or {}
+        first = (split.get("pretokenizers") or [{}])[0]
+        #: Whether white space separates: else texts are encoded whole.
+        self.apart = [n["type"] for n in before.get("normalizers", [])] == NORMALIZER and first.get("pattern") == {"Regex": SPLIT} and first.get("invert") and first.get("behavior") == "Removed"
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = dict(zip(printable, map(chr, printable))) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         self.clear()
 
     def clear(self) -> None:
@@ -40,20 +53,37 @@ class Encoder:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        """A run of plain letters goes to the model at once: the steps before it would only lower its case."""
+        out: list = [None] * len(words)
+        slow = []
+        tokenize, table = self.tokenizer.model.tokenize, self.bytes
+        for i, w in enumerate(words):
+            if w.isalpha() and max(w) < PLAIN_LETTERS and len(low := w.lower()) == len(w):
+                out[i] = [t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(table))]
+            else:
+                slow.append(i)
+        for i, e in zip(slow, self.tokenizer.encode_batch_fast([words[i] for i in slow], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def learn(self, words: list[bytes]) -> None:
         # Stops after a letter are tokens of their own, so the word before them may be known.
         stems = [w.rstrip(STOPS) for w in words]
         apart = [s != w and s[-1:].isalpha() for s, w in zip(stems, words)]
         plain = dict.fromkeys(w if not a else s for w, s, a in zip(words, stems, apart)) | dict.fromkeys(w[len(s) :] for w, s, a in zip(words, stems, apart) if a)
         new = [w for w in plain if w not in self.known]
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.add(new, [e.ids for e in got])
+        self.add(new, self.ids_of([w.decode("utf-8", "replace") for w in new]))
         both = [(w, self.known[s], self.known[w[len(s) :]]) for w, s, a in zip(words, stems, apart) if a]
         flat, starts = self.flat, self.starts
         self.add([w for w, _, _ in both], [[*flat[starts[i] : starts[i + 1]].tolist(), *flat[starts[j] : starts[j + 1]].tolist()] for _, i, j in both])
 
     def encode(self, texts: list[str | None], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text); ``end`` is added to each."""
+        if not self.apart:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            ends = [] if end is None else [end]
+            return np.fromiter(chain.from_iterable([*f, *ends] for f in found), np.uint32), np.array([len(f) + len(ends) for f in found], np.int64)
         if len(self.known) > self.most:
             self.clear()
         split = []
