@@ -137,6 +137,25 @@ def prediction_metrics(df: DataFrame, target: str, prediction: str = "prediction
     return df.agg(F.count(F.lit(1)).alias("n"), F.corr(target, prediction).alias("r"), (1 - F.try_divide(error, spread)).alias("r2"))
 
 
+def stratified(df: DataFrame, strata: dict[str, Column], columns: list[str], target: str, key: str) -> list[tuple[str, int, float | None, float | None]]:
+    """(stratum, test rows, r, R2) of a ridge fitted and tested within each stratum."""
+    out = []
+    for name, condition in strata.items():
+        data = feature_matrix(df.filter(condition), columns, target, key)
+        kept = [c for c in columns if c in data.columns]
+        test = held_out(F.col(key))
+        train = data.filter(~test)
+        if not kept or train.isEmpty() or data.filter(test).isEmpty():
+            out.append((name, 0, None, None))
+            continue
+        fit = ridge_cv(standardised(train, kept), kept, target, key)
+        stats = train.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in kept]).first()
+        scaled = data.filter(test).withColumns({c: (F.col(c) - F.lit(stats[c]["m"])) / F.lit(stats[c]["s"] or 1.0) for c in kept})
+        row = prediction_metrics(fit.predict(scaled), target).first()
+        out.append((name, row["n"], row["r"], row["r2"]))
+    return out
+
+
 def top_predictors(spark, model: Ridge, n: int = 10) -> DataFrame:
     """Features by the size of their weight, zeros left out."""
     rows = [(c, float(w)) for c, w in zip(model.columns, model.weights) if w]

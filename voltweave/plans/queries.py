@@ -14,7 +14,7 @@ from ..operators import demand, gaps, graph, model, simulation, site, spatial, t
 from ..sources import readers
 from ..sources.fixtures import Fixtures, position
 from ..streaming import status as streaming
-from .staging import shared_dir
+from .staging import shared_dir, stage
 
 #: The test log is sparse: an hour instead of five minutes, so that some plug-ins are queued.
 PARAMS = Params(queue_minutes=60.0)
@@ -478,6 +478,15 @@ def top_predictors(t):
     return model.top_predictors(t.spark, fit)
 
 
+@query
+def stratified_metrics(t):
+    """Regression of demand by destination chargers, journey chargers and all."""
+    data = t.rates.filter("ev_turnin_rate <= 1").select("station_id", "kw_rated", "traffic_volume", "free_flow_speed", "population_estimate", "installation_status", "daily_demand")
+    strata = {"destination": F.col("kw_rated") < 50, "journey": F.col("kw_rated") >= 50, "all": F.lit(True)}
+    rows = model.stratified(stage(data, "strata"), strata, ["kw_rated", "traffic_volume", "free_flow_speed", "population_estimate", "installation_status"], "daily_demand", "station_id")
+    return t.spark.createDataFrame(rows, "stratum string, n long, r double, r2 double")
+
+
 # --- simulated demand -------------------------------------------------------
 
 

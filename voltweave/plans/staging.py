@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = _own.setdefault(app, tempfile.mkdtemp(prefix="voltweave-"))
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="voltweave-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        root = _own[app]
     return f"{root.rstrip('/')}/voltweave-{app}"
 
 
