@@ -7,16 +7,19 @@ earlier one: earlier by doc_id, then by its number in the document.  Lines of
 fewer than MIN_WORDS words always stay, as does the layout of what is left.
 
 1. Equal lines are one class, held by its first line.
-2. Tokens are ordered by rarity, estimated as the number of a shingle's words
-   that are not among the COMMON most frequent words of the corpus; equals go by
-   hash.  The order depends on the token alone, as the prefix filter needs.
-3. Two sets that match share a token of their prefixes (the first n - ceil(0.8 n) + 1
-   tokens).  Prefix tokens of all classes meet in one sorted exchange; length and
-   positional filters drop pairs that can't match.
-4. Each class is first compared with the first class that has the token.  In a
-   large group of near copies that settles all of them at the cost of one pair
-   each.  Only classes that are not settled meet every other earlier class of the
-   token, so nothing is missed and no group emits its pairs.
+2. A first prefix filter takes the order of the tokens' hashes (after the lengths of
+   their words, as frequent words are short): two sets that match share one of their
+   first n - ceil(0.8 n) + 1 tokens.  These meet in one sorted exchange.  Only lines
+   that share one stay; they are the candidates.
+3. Among the candidates tokens are counted, and the rare ones decide: in the order by
+   rarity those that no other candidate has come first.  A line that has more than
+   a fifth of such tokens can't match.  Of a pair, the first shared token stands
+   behind them on either side (positional filter), and lengths must fit.
+4. Each class is first compared with the first class that has the token, what is
+   not settled with ever larger stretches of those that follow.  A large group of
+   near copies is settled at the cost of a few pairs each, and classes that settle
+   nowhere meet every earlier class of the token: nothing is missed.  Within the join
+   parity sketches drop pairs whose sets differ too much.
 5. Similarities are verified on whole sets, built again for candidate lines only.
 
 Defined cases: null text has no lines and stays null; a null doc_id comes first;
@@ -35,13 +38,13 @@ from .common import stage
 
 WIDTH = 5
 MIN_WORDS = 5
-COMMON = 1024
-#: Items that the sketch of word frequencies tracks.
-TRACKED = 1 << 16
 #: Documents with candidate lines up to which their ids are broadcast (about 16 bytes each).
 BROADCAST_IDS = 2_000_000
-#: Low bits of a token that are its hash; above them is how common it is.
-HASH_BITS = 60
+SPACE = r"[\x20\x09-\x0D]+"
+#: Low bits of a word's and a token's value that are its hash; above them is how common it seems.
+HASH_BITS = 57
+#: Letters from which a word counts as rare.
+LONG = 15
 FIRST = -(1 << 63)
 
 
@@ -51,31 +54,26 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _words(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("words", F.split(F.trim(F.translate(F.lower("words"), "\t\x0b\x0c\r", "    ")), " +"))
+    return lines.withColumn("words", F.split(F.trim(F.lower("words"), F.lit(" \t\x0b\x0c\r")), SPACE))
 
 
-def common_words(documents: DataFrame, most: int = COMMON) -> list[int]:
-    """Hashes of the most frequent words, from a sketch of all words."""
-    words = _words(_lines(documents)).select(F.explode("words").alias("w"))
-    top = words.agg(F.expr(f"approx_top_k(w, {most}, {TRACKED})").alias("top")).select(F.explode("top").alias("t"))
-    return [r[0] for r in top.filter("t.count > 1").select(F.xxhash64("t.item")).collect()]
+def _tokens(lines: DataFrame) -> DataFrame:
+    """Adds n_words and the sorted set ``tokens``; each step is a column of its own, so it is computed once.
 
-
-def _tokens(lines: DataFrame, common: list[int]) -> DataFrame:
-    """Adds n_words and the sorted set ``tokens``; each step is a column of its own, so it is computed once."""
-    hashed = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    level = (lambda h: F.when(h.isin(common), 1).otherwise(0)) if common else (lambda h: F.lit(0))
-    rated = hashed.withColumn("c", F.transform("h", level))
+    A word's value has the length that it lacks to LONG in its top bits, below them its hash; so has
+    a shingle's, with the sum of its first and last word.
+    """
+    low = lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    top = lambda x: F.shiftright(x, HASH_BITS)
+    word = lambda w: low(F.xxhash64(w)).bitwiseOR(F.shiftleft((LONG - F.least(F.length(w), F.lit(LONG))).cast("long"), HASH_BITS))
+    hashed = lines.withColumn("h", F.transform("words", word))
 
     def token(i: Column) -> Column:
         at = [F.get("h", i + k) for k in range(WIDTH)]
-        usual = sum((F.get("c", i + k) for k in range(1, WIDTH)), F.get("c", i))
-        low = F.xxhash64(*at).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-        return low.bitwiseOR(F.shiftleft(usual.cast("long"), HASH_BITS))
+        return low(F.xxhash64(*at)).bitwiseOR(F.shiftleft(top(at[0]) + top(at[-1]), HASH_BITS))
 
-    whole = F.array(F.xxhash64("h").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    sets = F.when(F.size("h") < WIDTH, whole).otherwise(F.transform(F.sequence(F.lit(0), F.size("h") - WIDTH), token))
-    return rated.withColumn("n_words", F.size("words")).withColumn("tokens", F.sort_array(F.array_distinct(sets)))
+    sets = F.when(F.size("h") < WIDTH, F.array(low(F.xxhash64("h")))).otherwise(F.transform(F.sequence(F.lit(0), F.size("h") - WIDTH), token))
+    return hashed.withColumn("n_words", F.size("words")).withColumn("tokens", F.sort_array(F.array_distinct(sets)))
 
 
 def _class(words: Column) -> list[Column]:
@@ -88,17 +86,23 @@ def _overlap_needed(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * 4 / 9 - 1e-9)
 
 
-def _can_match(n: str, m: str, i: str, j: str) -> Column:
-    """Length and positional filters for sets of n and m tokens whose i-th and j-th token (from 1) is the same."""
-    n, m, i, j = map(F.col, (n, m, i, j))
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (F.lit(1) + F.least(n - i, m - j) >= _overlap_needed(n, m))
+def _can_match() -> Column:
+    """Filters for two sets by their sizes (n), shared tokens (held) and parities.
+
+    Length: the smaller has at least 0.8 of the larger.  Position: behind the
+    tokens of their own there must be as many as the overlap needs.  Sketch: two
+    sets differ by at least as many tokens as their parities (of tokens by their
+    low six bits) by bits.
+    """
+    n, m = F.col("n"), F.col("l_n")
+    need = _overlap_needed(n, m)
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (F.least("held", "l_held") >= need) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("l_parity"))) <= n + m - 2 * need)
 
 
 class LineDedup:
     def __init__(self, documents: DataFrame, min_words: int = MIN_WORDS):
         self.documents, self.min_words = documents.select("doc_id", "text"), min_words
-        self.common = common_words(self.documents)
-        sized = _tokens(_words(_lines(self.documents)), self.common)
+        sized = _tokens(_words(_lines(self.documents)))
         n = F.size("tokens")
         usable = F.coalesce(F.col("n_words") >= min_words, F.lit(False))
         prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * 4 / 5 - 1e-9).cast("int") + 1)
@@ -107,37 +111,70 @@ class LineDedup:
         )
         removed = self._matches()
         used = self.lines.filter("n is not null")
+        removed = removed.distinct()
         firsts = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("f")).select("k1", "k2", F.col("f.doc").alias("f_doc"), F.col("f.line").alias("f_line"))
         self.classes = stage(firsts.join(removed, (F.col("f_doc") == removed["doc"]) & (F.col("f_line") == removed["line"]), "left").select("k1", "k2", "f_doc", "f_line", F.col("line").isNotNull().alias("gone")), "line-classes")
 
     def _matches(self) -> DataFrame:
         """(doc, line) of the first lines of classes that match an earlier class."""
         used = self.lines.filter("n is not null")
-        classes = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "n", "prefix")).alias("f"))
-        spread = classes.select("f.doc", "f.line", "f.n", F.posexplode("f.prefix").alias("i", "token"))
-        spread = spread.withColumn("i", F.col("i") + 1)
+        classes = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "prefix")).alias("f"))
+        spread = classes.select(F.explode("f.prefix").alias("token"), "f.doc", "f.line")
         order = Window.partitionBy("token").orderBy("doc", "line")
-        ranked = spread.select("*", F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in ("doc", "line", "n", "i")])
-        shared = stage(ranked.filter("rank > 1 and (doc <> l_doc or line <> l_line)"), "line-shared")
-        with_first = shared.filter(_can_match("n", "l_n", "i", "l_i")).select("doc", "line", "l_doc", "l_line").distinct()
-        settled = self._verified(stage(with_first, "line-pairs"))
-        open_ = shared.join(settled, ["doc", "line"], "left_anti")
-        earlier = shared.select("token", *[F.col(c).alias(f"l_{c}") for c in ("doc", "line", "n", "i", "rank")])
-        rest = open_.select("token", "doc", "line", "n", "i", "rank").join(earlier, "token").filter("l_rank < rank and (doc <> l_doc or line <> l_line)")
-        rest = rest.filter(_can_match("n", "l_n", "i", "l_i")).select("doc", "line", "l_doc", "l_line").distinct()
-        return stage(settled.unionByName(self._verified(stage(rest, "line-pairs"))).distinct(), "line-removed")
-
-    def _verified(self, pairs: DataFrame) -> DataFrame:
+        ranked = spread.select("*", F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in ("doc", "line")])
+        later = stage(ranked.filter("rank > 1 and (doc <> l_doc or line <> l_line)"), "line-later")
+        first = later.select("token", F.col("l_doc").alias("doc"), F.col("l_line").alias("line"), F.lit(1).alias("rank")).distinct()
+        shared = later.select("token", "doc", "line", "rank").unionByName(first)
+        sets = self._sets(shared.select("doc", "line").distinct())
+        own = stage(self._held(sets), "line-own")
+        shared = stage(shared.select("token", "doc", "line", "rank").join(own, ["doc", "line"]), "line-shared")
+        other = own.withColumnsRenamed({c: f"l_{c}" for c in own.columns})
+        # The first class with the token, once for each pair of classes whatever number of tokens they share.
+        pairs = later.select("doc", "line", "l_doc", "l_line").distinct().join(own, ["doc", "line"]).join(other, ["l_doc", "l_line"]).filter(_can_match())
+        done = self._verified(stage(pairs.select("doc", "line", "l_doc", "l_line"), "line-near"), sets)
+        # The others, in growing stretches: most of a group of near copies is settled by the first of them.
+        open_, low, high = stage(shared.filter("rank > 2").join(done, ["doc", "line"], "left_anti"), "line-open"), 2, 2
+        while top := open_.agg(F.max("rank")).first()[0]:
+            earlier = shared.filter(F.col("rank").between(low, high)).withColumnsRenamed({c: f"l_{c}" for c in shared.columns if c != "token"})
+            pairs = open_.join(earlier, "token").filter("l_rank < rank and (doc <> l_doc or line <> l_line)").filter(_can_match())
+            settled = self._verified(stage(pairs.select("doc", "line", "l_doc", "l_line").distinct(), "line-near"), sets)
+            done = done.unionByName(settled)
+            if high + 1 >= top:
+                break
+            open_ = stage(open_.filter(F.col("rank") > high + 1).join(settled, ["doc", "line"], "left_anti"), "line-open")
+            low, high = high + 1, 4 * high
+        return done
+
+    def _held(self, sets: DataFrame) -> DataFrame:
+        """doc, line, n, held, parity of the lines that can match at all; held: tokens that another candidate line has too.
+
+        In the order by rarity the tokens that no other line has come first, so the
+        first token that two sets share stands behind them in both.
+        """
+        owner = sets.select("sid", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("sid").alias("sid"), F.max("sid").alias("top"))
+        alone = owner.filter("sid = top").groupBy("sid").agg(F.count(F.lit(1)).alias("alone"))
+        n = F.size("tokens")
+        held = n - F.coalesce("alone", F.lit(0))
+        return sets.join(alone, "sid", "left").filter(held * 5 >= n * 4).select("doc", "line", n.alias("n"), held.cast("int").alias("held"), "parity")
+
+    def _sets(self, places: DataFrame) -> DataFrame:
+        """Whole token sets and their parities of the given lines, built from their texts again."""
+        wanted = stage(places.groupBy("doc").agg(F.collect_set("line").alias("lines"), F.count(F.lit(1)).alias("n")), "line-wanted")
+        size = wanted.agg(F.count(F.lit(1)), F.sum("n")).first()
+        small = size[0] + (size[1] or 0) <= BROADCAST_IDS
+        texts = self.documents.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))).join(F.broadcast(wanted) if small else wanted, "doc")
+        split = texts.withColumn("split", F.split("text", "\n"))
+        lines = split.select("doc", F.explode("lines").alias("line"), "split").select("doc", "line", F.get("split", F.col("line")).alias("words")).filter("words is not null")
+        parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+        return stage(_tokens(_words(lines)).filter(F.col("n_words") >= self.min_words).select(F.monotonically_increasing_id().alias("sid"), "doc", "line", "tokens", parity.alias("parity")), "line-sets")
+
+    def _verified(self, near: DataFrame, sets: DataFrame) -> DataFrame:
         """(doc, line) of the pairs whose sets have a similarity of 0.8 or more."""
-        wanted = stage(pairs.select("doc", "line").unionByName(pairs.select(F.col("l_doc").alias("doc"), F.col("l_line").alias("line"))).distinct(), "line-wanted")
-        docs = wanted.select("doc").distinct()
-        small = wanted.count() <= BROADCAST_IDS
-        docs, places = (F.broadcast(docs), F.broadcast(wanted)) if small else (docs, wanted)
-        texts = self.documents.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))).join(docs, "doc", "left_semi")
-        lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "words")).join(places, ["doc", "line"], "left_semi")
-        sets = stage(_tokens(_words(lines), self.common).filter(F.col("n_words") >= self.min_words).select("doc", "line", "tokens"), "line-sets")
-        other = sets.select(F.col("doc").alias("l_doc"), F.col("line").alias("l_line"), F.col("tokens").alias("l_tokens"))
-        both = pairs.join(sets, ["doc", "line"]).join(other, ["l_doc", "l_line"])
+        small = near.count() <= BROADCAST_IDS
+        hint = F.broadcast if small else (lambda df: df)
+        left = sets.join(hint(near), ["doc", "line"]).select("doc", "line", "l_doc", "l_line", "tokens")
+        right = sets.join(hint(near.select(F.col("l_doc").alias("doc"), F.col("l_line").alias("line")).distinct()), ["doc", "line"], "left_semi")
+        both = left.join(right.select(F.col("doc").alias("l_doc"), F.col("line").alias("l_line"), F.col("tokens").alias("l_tokens")), ["l_doc", "l_line"])
         overlap = F.size(F.array_intersect("tokens", "l_tokens"))
         return stage(both.filter(overlap >= _overlap_needed(F.size("tokens"), F.size("l_tokens"))).select("doc", "line").distinct(), "line-settled")
 
