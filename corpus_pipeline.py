@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from voltweave.llm import language_id, line_dedup, mixing, packing, simhash
 from voltweave.llm.common import stage
 
+#: Words that a Python worker keeps with their ids; the stages share the workers' memory.
+WORDS = 150_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -36,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of token ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, most_words=WORDS)
 
 
 STAGES = [

@@ -7,43 +7,23 @@ setting is absent (unit tests, notebooks) a temporary folder is used.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Regular expression of a word: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own: dict[str, str] = {}
+from ..plans.staging import shared_dir, stage
 
+__all__ = ["WORD", "filesystem", "new_path", "publish", "rows", "shared_dir", "stage"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder of this application below spark.checkpoint.dir, as a URI or path."""
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = _own.setdefault(app, tempfile.mkdtemp(prefix="voltweave-"))
-    return f"{root.rstrip('/')}/voltweave-{app}"
-
+#: Regular expression of a word: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    It cuts the lineage as a checkpoint would, computes the rows once instead
-    of twice, and survives the loss of any executor.
-    """
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI or a plain path."""
     from pyarrow import fs
@@ -70,7 +50,7 @@ def publish(uri: str, name: str, write) -> str:
     return f"{uri.rstrip('/')}/{name}"
 
 
-def rows(batches: Iterator[pa.RecordBatch], text: int, most: int = 4_000_000) -> Iterator[tuple]:
+def rows(batches: Iterator[pa.RecordBatch], text: int, most: int = 2_000_000) -> Iterator[tuple]:
     """Lists of columns' values, split so that a list's texts hold about ``most`` bytes.
 
     ``text`` is the index of the text column.  A longer single text comes alone.

@@ -28,6 +28,8 @@ from .common import rows
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 MATRIX_BYTES = 64 << 20
+#: Bytes of text that are scored at once; the n-grams of a stretch take about a hundred times that.
+BATCH_BYTES = 1_000_000
 #: Labelled rows that are learned from, of each language at most (in expectation).
 TRAIN_DOCS = 20_000
 
@@ -126,7 +128,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for texts, langs in rows(batches, 0):
+        for texts, langs in rows(batches, 0, BATCH_BYTES):
             hashed, owner, _ = grams(texts, buckets)
             of = np.array([number[x] for x in langs], dtype=np.int64)[owner]
             for k in np.unique(of):
@@ -147,7 +149,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches, 1):
+        for ids, texts in rows(batches, 1, BATCH_BYTES):
             names, scores = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -170,7 +172,7 @@ def keep_identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask: list[bool] = []
-            for (texts,) in rows(iter([batch.select([at])]), 0):
+            for (texts,) in rows(iter([batch.select([at])]), 0, BATCH_BYTES):
                 names, scores = shared.value.predict(texts)
                 mask += [n != UNKNOWN and s >= least for n, s in zip(names, scores)]
             yield batch.filter(pa.array(mask, pa.bool_()))

@@ -153,8 +153,11 @@ class Packer:
             self.window(own)
 
 
-def pack(documents: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
-    """Pieces of all documents with the window (``sequence_id``) and place (``offset``) of each."""
+def pack(documents: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END, most_words: int | None = None) -> DataFrame:
+    """Pieces of all documents with the window (``sequence_id``) and place (``offset``) of each.
+
+    ``most_words`` bounds the table of known words that a Python worker keeps.
+    """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +171,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, size: int = SIZE, e
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * len(schema))], schema=schema)
 
         for docs, texts in rows(batches, 1):
-            ids, counts = encoder(path).encode(texts, end)
+            ids, counts = encoder(path, most_words).encode(texts, end)
             at = 0
             for doc, n in zip(docs, counts.tolist()):
                 packer.add(doc, ids[at : at + n])

@@ -53,7 +53,7 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> list[int]:
     return [h(joined[a:b], SEED) for a, b in zip(begins[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
 
 
-def majority(hashes: np.ndarray, counts: np.ndarray, step: int = 500_000) -> np.ndarray:
+def majority(hashes: np.ndarray, counts: np.ndarray, step: int = 200_000) -> np.ndarray:
     """The fingerprint of each text from the hashes of all, ``counts`` of them for each; none: zero."""
     sums = np.zeros((len(counts), 64), np.int64)
     owner = np.repeat(np.arange(len(counts)), counts)

@@ -13,6 +13,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
+#: Words that an encoder keeps with their ids, about 130 bytes each.
+MOST_WORDS = 2_000_000
 # The steps before the model for which words can be taken apart.
 NORMALIZER = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -29,7 +31,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str, most_words: int = 2_000_000):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -120,8 +122,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_words: int | None = None) -> Encoder:
     """One encoder for each Python worker."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = most_words or MOST_WORDS
     return _encoders[path]
