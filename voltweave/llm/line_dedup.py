@@ -127,7 +127,11 @@ class LineDedup:
         shared = later.select("token", "doc", "line", "rank").unionByName(first)
         sets = self._sets(shared.select("doc", "line").distinct())
         own = stage(self._held(sets), "line-own")
-        shared = stage(shared.select("token", "doc", "line", "rank").join(own, ["doc", "line"]), "line-shared")
+        # Tokens of their own come first in the order by rarity, so they fill places of a line's prefix.
+        places = F.col("held") - F.ceil(F.col("n") * 4 / 5 - 1e-9) + 1
+        shared = shared.select("token", "doc", "line", "rank").join(own, ["doc", "line"])
+        shared = shared.withColumn("place", F.row_number().over(Window.partitionBy("doc", "line").orderBy("token"))).filter(F.col("place") <= places).drop("place")
+        shared = stage(shared, "line-shared")
         other = own.withColumnsRenamed({c: f"l_{c}" for c in own.columns})
         # The first class with the token, once for each pair of classes whatever number of tokens they share.
         pairs = later.select("doc", "line", "l_doc", "l_line").distinct().join(own, ["doc", "line"]).join(other, ["l_doc", "l_line"]).filter(_can_match())
