@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltweave.llm import language_id, line_dedup, mixing, packing, simhash
+from voltweave.llm import language_id, line_dedup, mixing, near_documents, packing
 from voltweave.llm.common import stage
 
 #: Words that a Python worker keeps with their ids; the stages share the workers' memory.
@@ -27,8 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays."""
-    return simhash.keep_first(docs.select(*COLUMNS))
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) one document stays."""
+    return near_documents.keep_first(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
