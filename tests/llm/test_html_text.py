@@ -48,6 +48,25 @@ def test_hidden_parts_and_unclosed_quotes_end_soon():
     assert "word" in ht.main_text("<article><p>" + "word <a '" * 20_000)
 
 
+def test_names_of_states_and_terms_take_nothing():
+    story = "<h1>The title</h1><p>A paragraph of the story, long enough to be one.</p><p>And a second one, with a few more words in it.</p>"
+    want = "The title\nA paragraph of the story, long enough to be one.\nAnd a second one, with a few more words in it."
+    menu = "<div class='left-sidebar'><p>Some words at the side, in a sentence.</p></div><div class='post-share-buttons'><a href=1>Share</a></div>"
+    for page in (
+        f"<body>{menu}<article class='post hentry category-news tag-economy category-privacy'>{story}</article></body>",
+        f"<body class='has-sidebar single-post'>{menu}<article>{story}</article></body>",
+        f"<body class='search sidebar'>{menu}<main>{story}</main></body>",
+        f"<body>{menu}<div class='content no-sidebar'>{story}</div></body>",
+        f"<body><div class='nav-open search-enabled print-ready'>{menu}<article>{story}</article></div></body>",
+        f"<body><form id='aspnetForm'><div class='sidebar'>{menu}<main>{story}</main></div></form></body>",
+        f"<body><div class='page-sidebar'><article>{story}</article></div>{menu}</body>",
+    ):
+        assert ht.main_text(page) == want, page
+    comments = "<div id='comments'><ol class='comment-list'><li><article class='comment-body'><p>A reader wrote this, at some length. And more.</p></article></li></ol></div>"
+    assert ht.main_text(f"<body><article>{story}</article>{comments}</body>") == want
+    assert ht.main_text(f"<body><main><article>{story}</article>{comments}</main></body>") == want
+
+
 def brute(costs, edges):
     n = len(costs)
     return min(

@@ -46,6 +46,17 @@ AGAINST = re.compile(
 HEAD = re.compile(r"^(head|header\w*)$")
 FOR = re.compile(r"^(article\w*|content|contents|post|entry|main|story|body|articlebody|prose|text)$")
 
+#: What a class name speaks of is its last word that is none of these ...
+TAILS = frozenset("area articles bar block bottom box btn button buttons container content desktop element form group head holder icon icons inner item items layer left line link links list main mobile module outer panel placeholder posts primary region right row secondary section slot stories text title top unit wrap wrapper".split())
+#: ... or its first word, where that is firm and no state follows.
+FIRM = re.compile(r"^(ads?|adv|advert\w*|sponsor\w*|promo\w*|sidebar\w*|footer\w*|breadcrumb\w*|cookie\w*|gdpr|newsletter\w*|popup\w*|modal\w*|related|recommend\w*|comments?|disqus|outbrain|taboola|social|share)$")
+STATES = frozenset("active closed collapsed disabled enabled expanded fixed hidden loaded off on open opened ready shown sticky visible".split())
+#: Names with these words say what is there or not, or where; those that begin with these are a post's terms.
+STATING = frozenset("has no not with without is".split())
+TERMS = frozenset("category tag term tax taxonomy type format status hidden visible".split())
+#: Their own class names don't speak against these.
+WHOLE = frozenset("html body main article".split())
+
 TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
 #: The same without regard to quotes, once a page has shown UNCLOSED tags that never end (else time would be quadratic).
 ROUGH = re.compile(r"<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
@@ -55,15 +66,33 @@ CLOSING = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in SILENT}
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def subjects(name: str) -> list[str]:
+    """What a class name or id may say of its element: the whole name, its head word, a firm first word."""
+    words = [w.lower() for w in NAME.findall(name.split("--")[0])]
+    if len(words) < 2:
+        return words
+    if STATING.intersection(words):
+        return []
+    if words[0] in TERMS and words[1] not in TAILS | {"cloud"}:
+        return []
+    head = len(words)
+    while head > 1 and words[head - 1] in TAILS:
+        head -= 1
+    return ["".join(words), words[head - 1], *(words[:1] if FIRM.match(words[0]) and words[-1] not in STATES else [])]
+
+
 class Box:
     """An open block-level element."""
 
-    __slots__ = ("tag", "up", "depth", "pro", "contra", "inside", "named")
+    __slots__ = ("tag", "up", "depth", "pro", "contra", "loose", "inside", "named")
 
     def __init__(self, tag: str, up: Box | None, attributes: str):
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
         self.inside = bool(up and (up.inside or up.tag in ("article", "main")))
         signs = [0.0 if tag == "header" and self.inside else TAGS.get(tag, 0.0)]  # an article's own header holds its title
+        against = form = 0.0  # by class names, by a form around it
+        if tag in ("form", "fieldset"):
+            form = signs.pop()
         self.named = False
         for m in ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -74,18 +103,22 @@ class Box:
             elif name in ("class", "id", "itemprop"):
                 words = [w.lower() for w in NAME.findall(value)]
                 self.named |= bool(words)
-                if any(AGAINST.match(w) or (HEAD.match(w) and not self.inside) for w in words):
-                    signs.append(-9.0)
+                of = [w for n in value.split() for w in subjects(n)]
+                if any(AGAINST.match(w) or (HEAD.match(w) and not self.inside) for w in of):
+                    against -= 9.0
                 elif any(FOR.match(w) for w in words):
                     signs.append(2.0)
         pro, contra = sum(s for s in signs if s > 0), sum(s for s in signs if s < 0)
         # What speaks for a container is bounded, so that one sign against a part of it outweighs it.
         self.pro = min(5.0, (up.pro if up else 0.0) + pro)
         self.contra = (up.contra if up else 0.0) + contra
+        # A page's article starts anew in what names and forms around it say, but not a comment or teaser by its own name.
+        anew = tag == "main" or (tag == "article" and not self.inside and not against)
+        self.loose = (0.0 if anew or not up else up.loose) + form + (0.0 if tag in WHOLE else against)
 
     @property
     def z(self) -> float:
-        return self.pro + self.contra
+        return self.pro + self.contra + self.loose
 
 
 def blocks(page: str) -> list[tuple[Box, str, str, float]]:
