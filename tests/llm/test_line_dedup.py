@@ -89,3 +89,23 @@ def test_odd_rows(make, odd):
     assert dedup.apply(make(odd)).count() == len(odd)
     empty = make([]).filter("false")
     assert ld.LineDedup(empty).report().count() == 0 and ld.LineDedup(empty).apply(empty).count() == 0
+
+
+def test_rows_that_share_an_id(make):
+    rng = np.random.default_rng(2)
+    a, b, c, d, e = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 20)) for _ in range(5))
+    rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (None, f"{d}\n{e}"), (7, f"{b} tail"), (7, "a clean line of one row here"), (8, f"{d}\nown line of the row is this")]
+    for twice in ([], rows[:2]):
+        frame = make(rows + twice)
+        dedup = ld.LineDedup(frame)
+        want = [(None, f"{a}\n{b}"), (None, c), (None, f"{d}\n{e}"), (7, rows[4][1]), (8, "own line of the row is this")] + ([(None, f"{a}\n{b}"), (None, c)] if twice else [])
+        assert sorted(((r.doc_id, r.text) for r in dedup.apply(frame).collect()), key=str) == sorted(want, key=str)
+
+
+def test_lines_of_rows_at_one_place_meet_later_ones(make):
+    # Both rows' lines hold the tokens of the later one; it matches the second only.
+    words = [f"x{i}" for i in range(60)]
+    rows = [(None, " ".join(words[:30] + ["p"] * 40)), (None, " ".join(words[:30])), (3, " ".join([*words[:30], "end"]))]
+    for some in (rows, rows[::-1]):
+        got = ld.LineDedup(make(some)).apply(make(some)).collect()
+        assert sorted(str(r.doc_id) for r in got) == ["None", "None"]

@@ -23,9 +23,9 @@ fewer than MIN_WORDS words always stay, as does the layout of what is left.
 5. Similarities are verified on whole sets, built again for candidate lines only.
 
 Defined cases: null text has no lines and stays null; a null doc_id comes first;
-rows that share a doc_id are one document: lines with one number in it are not
-earlier than each other, and what happens to one happens to all of that number
-that are first of their class.  Empty lines stay.  An empty table gives no rows.
+rows that share a doc_id are told apart by a hash of their texts: lines with one
+number in them are not earlier than each other, but what happens to a line
+happens to the lines of its class only.  Empty lines stay.  An empty table gives no rows.
 Other columns are not read.
 """
 
@@ -46,11 +46,16 @@ HASH_BITS = 57
 #: Letters from which a word counts as rare.
 LONG = 15
 FIRST = -(1 << 63)
+#: What tells a line from all others.
+PLACE = ["doc", "row", "line"]
+
+
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc")
-    return documents.select(doc, F.posexplode_outer(F.split("text", "\n")).alias("line", "words"))
+    return documents.select("doc", "row", F.posexplode_outer(F.split("text", "\n")).alias("line", "words"))
 
 
 def _words(lines: DataFrame) -> DataFrame:
@@ -102,50 +107,63 @@ def _can_match() -> Column:
 class LineDedup:
     def __init__(self, documents: DataFrame, min_words: int = MIN_WORDS):
         self.documents, self.min_words = documents.select("doc_id", "text"), min_words
-        sized = _tokens(_words(_lines(self.documents)))
+        repeated = stage(self.documents.groupBy(_doc().alias("__vw_repeated")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("__vw_repeated"), "line-ids")
+        self.repeated, self.n_repeated = repeated, repeated.count()
+        sized = _tokens(_words(_lines(self._keyed(self.documents, "doc", "row"))))
         n = F.size("tokens")
         usable = F.coalesce(F.col("n_words") >= min_words, F.lit(False))
         prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * 4 / 5 - 1e-9).cast("int") + 1)
         self.lines = stage(
-            sized.select("doc", "line", *_class(F.col("words")), F.when(usable, n).alias("n"), F.when(usable, prefix).alias("prefix")), "lines"
+            sized.select(*PLACE, *_class(F.col("words")), F.when(usable, n).alias("n"), F.when(usable, prefix).alias("prefix")), "lines"
         )
         removed = self._matches()
         used = self.lines.filter("n is not null")
         removed = removed.distinct()
-        firsts = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("f")).select("k1", "k2", F.col("f.doc").alias("f_doc"), F.col("f.line").alias("f_line"))
-        self.classes = stage(firsts.join(removed, (F.col("f_doc") == removed["doc"]) & (F.col("f_line") == removed["line"]), "left").select("k1", "k2", "f_doc", "f_line", F.col("line").isNotNull().alias("gone")), "line-classes")
+        firsts = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row")).alias("f")).select("k1", "k2", *[F.col(f"f.{c}").alias(f"f_{c}") for c in PLACE])
+        same = (F.col("f_doc") == removed["doc"]) & (F.col("f_row") == removed["row"]) & (F.col("f_line") == removed["line"])
+        self.classes = stage(firsts.join(removed, same, "left").select("k1", "k2", "f_doc", "f_line", F.col("line").isNotNull().alias("gone")), "line-classes")
+
+    def _keyed(self, documents: DataFrame, doc: str, row: str) -> DataFrame:
+        """``documents`` with the columns ``doc`` and ``row``: a hash of the text where rows share a doc_id, else 0."""
+        keyed = documents.withColumn(doc, _doc())
+        if not self.n_repeated:
+            return keyed.withColumn(row, F.lit(0).cast("long"))
+        ids = F.broadcast(self.repeated) if self.n_repeated <= BROADCAST_IDS else self.repeated
+        keyed = keyed.join(ids, F.col(doc) == F.col("__vw_repeated"), "left")
+        return keyed.withColumn(row, F.when(F.col("__vw_repeated").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("__vw_repeated")
 
     def _matches(self) -> DataFrame:
-        """(doc, line) of the first lines of classes that match an earlier class."""
+        """(doc, row, line) of the first lines of classes that match an earlier class."""
         used = self.lines.filter("n is not null")
-        classes = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "prefix")).alias("f"))
-        spread = classes.select(F.explode("f.prefix").alias("token"), "f.doc", "f.line")
-        order = Window.partitionBy("token").orderBy("doc", "line")
-        ranked = spread.select("*", F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in ("doc", "line")])
-        later = stage(ranked.filter("rank > 1 and (doc <> l_doc or line <> l_line)"), "line-later")
-        first = later.select("token", F.col("l_doc").alias("doc"), F.col("l_line").alias("line"), F.lit(1).alias("rank")).distinct()
-        shared = later.select("token", "doc", "line", "rank").unionByName(first)
-        sets = self._sets(shared.select("doc", "line").distinct())
+        classes = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row", "prefix")).alias("f"))
+        spread = classes.select(F.explode("f.prefix").alias("token"), *[f"f.{c}" for c in PLACE])
+        order = Window.partitionBy("token").orderBy("doc", "line", "row")
+        ranked = spread.select("*", F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in PLACE])
+        later = stage(ranked.filter("rank > 1"), "line-later")
+        first = later.select("token", *[F.col(f"l_{c}").alias(c) for c in PLACE], F.lit(1).alias("rank")).distinct()
+        shared = later.select("token", *PLACE, "rank").unionByName(first)
+        sets = self._sets(shared.select(*PLACE).distinct())
         own = stage(self._held(sets), "line-own")
         # Tokens of their own come first in the order by rarity, so they fill places of a line's prefix.
         places = F.col("held") - F.ceil(F.col("n") * 4 / 5 - 1e-9) + 1
-        shared = shared.select("token", "doc", "line", "rank").join(own, ["doc", "line"])
-        shared = shared.withColumn("place", F.row_number().over(Window.partitionBy("doc", "line").orderBy("token"))).filter(F.col("place") <= places).drop("place")
+        shared = shared.select("token", *PLACE, "rank").join(own, PLACE)
+        shared = shared.withColumn("place", F.row_number().over(Window.partitionBy(*PLACE).orderBy("token"))).filter(F.col("place") <= places).drop("place")
         shared = stage(shared, "line-shared")
         other = own.withColumnsRenamed({c: f"l_{c}" for c in own.columns})
+        both = [*PLACE, *[f"l_{c}" for c in PLACE]]
         # The first class with the token, once for each pair of classes whatever number of tokens they share.
-        pairs = later.select("doc", "line", "l_doc", "l_line").distinct().join(own, ["doc", "line"]).join(other, ["l_doc", "l_line"]).filter(_can_match())
-        done = self._verified(stage(pairs.select("doc", "line", "l_doc", "l_line"), "line-near"), sets)
+        pairs = later.filter("doc <> l_doc or line <> l_line").select(*both).distinct().join(own, PLACE).join(other, both[3:]).filter(_can_match())
+        done = self._verified(stage(pairs.select(*both), "line-near"), sets)
         # The others, in growing stretches: most of a group of near copies is settled by the first of them.
-        open_, low, high = stage(shared.filter("rank > 2").join(done, ["doc", "line"], "left_anti"), "line-open"), 2, 2
+        open_, low, high = stage(shared.filter("rank > 2").join(done, PLACE, "left_anti"), "line-open"), 2, 2
         while top := open_.agg(F.max("rank")).first()[0]:
             earlier = shared.filter(F.col("rank").between(low, high)).withColumnsRenamed({c: f"l_{c}" for c in shared.columns if c != "token"})
             pairs = open_.join(earlier, "token").filter("l_rank < rank and (doc <> l_doc or line <> l_line)").filter(_can_match())
-            settled = self._verified(stage(pairs.select("doc", "line", "l_doc", "l_line").distinct(), "line-near"), sets)
+            settled = self._verified(stage(pairs.select(*both).distinct(), "line-near"), sets)
             done = done.unionByName(settled)
             if high + 1 >= top:
                 break
-            open_ = stage(open_.filter(F.col("rank") > high + 1).join(settled, ["doc", "line"], "left_anti"), "line-open")
+            open_ = stage(open_.filter(F.col("rank") > high + 1).join(settled, PLACE, "left_anti"), "line-open")
             low, high = high + 1, 4 * high
         return done
 
@@ -159,35 +177,38 @@ class LineDedup:
         alone = owner.filter("sid = top").groupBy("sid").agg(F.count(F.lit(1)).alias("alone"))
         n = F.size("tokens")
         held = n - F.coalesce("alone", F.lit(0))
-        return sets.join(alone, "sid", "left").filter(held * 5 >= n * 4).select("doc", "line", n.alias("n"), held.cast("int").alias("held"), "parity")
+        return sets.join(alone, "sid", "left").filter(held * 5 >= n * 4).select(*PLACE, n.alias("n"), held.cast("int").alias("held"), "parity")
 
     def _sets(self, places: DataFrame) -> DataFrame:
         """Whole token sets and their parities of the given lines, built from their texts again."""
-        wanted = stage(places.groupBy("doc").agg(F.collect_set("line").alias("lines"), F.count(F.lit(1)).alias("n")), "line-wanted")
+        wanted = stage(places.groupBy("doc", "row").agg(F.collect_set("line").alias("lines"), F.count(F.lit(1)).alias("n")), "line-wanted")
         size = wanted.agg(F.count(F.lit(1)), F.sum("n")).first()
         small = size[0] + (size[1] or 0) <= BROADCAST_IDS
-        texts = self.documents.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))).join(F.broadcast(wanted) if small else wanted, "doc")
+        texts = self._keyed(self.documents, "doc", "row").join(F.broadcast(wanted) if small else wanted, ["doc", "row"])
+        if self.n_repeated:  # equal rows are one
+            texts = texts.filter("row = 0").unionByName(texts.filter("row <> 0").dropDuplicates(["doc", "row"]))
         split = texts.withColumn("split", F.split("text", "\n"))
-        lines = split.select("doc", F.explode("lines").alias("line"), "split").select("doc", "line", F.get("split", F.col("line")).alias("words")).filter("words is not null")
+        lines = split.select("doc", "row", F.explode("lines").alias("line"), "split").select(*PLACE, F.get("split", F.col("line")).alias("words")).filter("words is not null")
         parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-        return stage(_tokens(_words(lines)).filter(F.col("n_words") >= self.min_words).select(F.monotonically_increasing_id().alias("sid"), "doc", "line", "tokens", parity.alias("parity")), "line-sets")
+        return stage(_tokens(_words(lines)).filter(F.col("n_words") >= self.min_words).select(F.monotonically_increasing_id().alias("sid"), *PLACE, "tokens", parity.alias("parity")), "line-sets")
 
     def _verified(self, near: DataFrame, sets: DataFrame) -> DataFrame:
-        """(doc, line) of the pairs whose sets have a similarity of 0.8 or more."""
+        """(doc, row, line) of the pairs whose sets have a similarity of 0.8 or more."""
         small = near.count() <= BROADCAST_IDS
         hint = F.broadcast if small else (lambda df: df)
-        left = sets.join(hint(near), ["doc", "line"]).select("doc", "line", "l_doc", "l_line", "tokens")
-        right = sets.join(hint(near.select(F.col("l_doc").alias("doc"), F.col("l_line").alias("line")).distinct()), ["doc", "line"], "left_semi")
-        both = left.join(right.select(F.col("doc").alias("l_doc"), F.col("line").alias("l_line"), F.col("tokens").alias("l_tokens")), ["l_doc", "l_line"])
+        earlier = [f"l_{c}" for c in PLACE]
+        left = sets.join(hint(near), PLACE).select(*PLACE, *earlier, "tokens")
+        right = sets.join(hint(near.select(*[F.col(f"l_{c}").alias(c) for c in PLACE]).distinct()), PLACE, "left_semi")
+        both = left.join(right.select(*[F.col(c).alias(f"l_{c}") for c in PLACE], F.col("tokens").alias("l_tokens")), earlier)
         overlap = F.size(F.array_intersect("tokens", "l_tokens"))
-        return stage(both.filter(overlap >= _overlap_needed(F.size("tokens"), F.size("l_tokens"))).select("doc", "line").distinct(), "line-settled")
+        return stage(both.filter(overlap >= _overlap_needed(F.size("tokens"), F.size("l_tokens"))).select(*PLACE).distinct(), "line-settled")
 
     def flagged(self) -> DataFrame:
-        """doc, line, k1 and gone of every line (line null for documents without any)."""
+        """doc, row, line, k1 and gone of every line (line null for documents without any)."""
         gone = F.coalesce(F.col("gone") | (F.col("doc") != F.col("f_doc")) | (F.col("line") != F.col("f_line")), F.lit(False))
-        used = self.lines.filter("n is not null").select("doc", "line", "k1", "k2").join(self.classes, ["k1", "k2"])
-        rest = self.lines.filter("n is null").select("doc", "line", "k1", F.lit(False).alias("gone"))
-        return used.select("doc", "line", "k1", gone.alias("gone")).unionByName(rest)
+        used = self.lines.filter("n is not null").select(*PLACE, "k1", "k2").join(self.classes, ["k1", "k2"])
+        rest = self.lines.filter("n is null").select(*PLACE, "k1", F.lit(False).alias("gone"))
+        return used.select(*PLACE, "k1", gone.alias("gone")).unionByName(rest)
 
     def report(self) -> DataFrame:
         """doc_id, n_lines, n_removed and the numbers of the removed lines (from 0, as text) of each document."""
@@ -200,12 +221,11 @@ class LineDedup:
 
         The removed lines' numbers are broadcast if they are few; else texts are shuffled once.
         """
-        gone = self.flagged().filter("gone").groupBy(F.col("doc").alias("__vw_doc")).agg(F.collect_set("line").alias("__vw_gone"), F.count(F.lit(1)).alias("__vw_n"))
+        gone = self.flagged().filter("gone").groupBy(F.col("doc").alias("__vw_doc"), F.col("row").alias("__vw_row")).agg(F.collect_set("line").alias("__vw_gone"), F.count(F.lit(1)).alias("__vw_n"))
         gone = stage(gone, "line-gone")
         size = gone.agg(F.count(F.lit(1)), F.sum("__vw_n")).first()
         small = size[0] + (size[1] or 0) <= BROADCAST_IDS
-        key = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
-        joined = documents.join(F.broadcast(gone) if small else gone, key == F.col("__vw_doc"), "left")
+        joined = self._keyed(documents, "__vw_doc", "__vw_row").join(F.broadcast(gone) if small else gone, ["__vw_doc", "__vw_row"], "left")
         kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__vw_gone", i))
         cut = joined.withColumn("__vw_kept", F.when(F.col("__vw_gone").isNotNull(), kept)).filter("__vw_kept is null or size(__vw_kept) > 0")
         text = F.coalesce(F.array_join("__vw_kept", "\n"), F.col("text"))
