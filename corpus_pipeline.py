@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go, and documents that have no other."""
-    return line_dedup.LineDedup(docs).apply(docs.select(*COLUMNS))
+    """Lines that match an earlier line go (of fewer than five words: that equal one), and documents that have no other."""
+    return line_dedup.LineDedup(docs, short=True).apply(docs.select(*COLUMNS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

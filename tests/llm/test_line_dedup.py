@@ -109,3 +109,12 @@ def test_lines_of_rows_at_one_place_meet_later_ones(make):
     for some in (rows, rows[::-1]):
         got = ld.LineDedup(make(some)).apply(make(some)).collect()
         assert sorted(str(r.doc_id) for r in got) == ["None", "None"]
+
+
+def test_short_lines_in_the_pipeline(spark, make):
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\n\nown words of the first text here\n \t"), (2, "all  rights reserved.\n\nand of the second text other words\nAll rights"), (3, "Yes\nYes"), (4, "yes"), (5, None), (6, "")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, make(rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "\nand of the second text other words\nAll rights", 3: "Yes", 5: None, 6: ""}
+    assert {r.n_removed for r in ld.LineDedup(make(rows)).report().collect()} == {0}  # as the SQL has it

@@ -4,7 +4,9 @@ A line's tokens are its five-word shingles (a shorter line: all its words as
 one), lower-cased, as a set of 64-bit values.  Two lines match if the Jaccard
 similarity of their sets is 0.8 or more.  A line is removed if it matches any
 earlier one: earlier by doc_id, then by its number in the document.  Lines of
-fewer than MIN_WORDS words always stay, as does the layout of what is left.
+fewer than MIN_WORDS words stay in operator 9, as its SQL has it; with ``short``, as in
+the pipeline, those that repeat an earlier one word by word go too.  The layout of
+what is left stays.
 
 1. Equal lines are one class, held by its first line.
 2. A first prefix filter takes the order of the tokens' hashes (after the lengths of
@@ -105,19 +107,20 @@ def _can_match() -> Column:
 
 
 class LineDedup:
-    def __init__(self, documents: DataFrame, min_words: int = MIN_WORDS):
+    def __init__(self, documents: DataFrame, min_words: int = MIN_WORDS, short: bool = False):
         self.documents, self.min_words = documents.select("doc_id", "text"), min_words
         repeated = stage(self.documents.groupBy(_doc().alias("__vw_repeated")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("__vw_repeated"), "line-ids")
         self.repeated, self.n_repeated = repeated, repeated.count()
         sized = _tokens(_words(_lines(self._keyed(self.documents, "doc", "row"))))
         n = F.size("tokens")
         usable = F.coalesce(F.col("n_words") >= min_words, F.lit(False))
+        few = ~usable & (F.concat_ws("", "words") != "") if short else F.lit(False)
         prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * 4 / 5 - 1e-9).cast("int") + 1)
         self.lines = stage(
-            sized.select(*PLACE, *_class(F.col("words")), F.when(usable, n).alias("n"), F.when(usable, prefix).alias("prefix")), "lines"
+            sized.select(*PLACE, *_class(F.col("words")), F.when(usable, n).alias("n"), F.when(usable, prefix).alias("prefix"), (usable | few).alias("used")), "lines"
         )
         removed = self._matches()
-        used = self.lines.filter("n is not null")
+        used = self.lines.filter("used")
         removed = removed.distinct()
         firsts = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row")).alias("f")).select("k1", "k2", *[F.col(f"f.{c}").alias(f"f_{c}") for c in PLACE])
         same = (F.col("f_doc") == removed["doc"]) & (F.col("f_row") == removed["row"]) & (F.col("f_line") == removed["line"])
@@ -206,8 +209,8 @@ class LineDedup:
     def flagged(self) -> DataFrame:
         """doc, row, line, k1 and gone of every line (line null for documents without any)."""
         gone = F.coalesce(F.col("gone") | (F.col("doc") != F.col("f_doc")) | (F.col("line") != F.col("f_line")), F.lit(False))
-        used = self.lines.filter("n is not null").select(*PLACE, "k1", "k2").join(self.classes, ["k1", "k2"])
-        rest = self.lines.filter("n is null").select(*PLACE, "k1", F.lit(False).alias("gone"))
+        used = self.lines.filter("used").select(*PLACE, "k1", "k2").join(self.classes, ["k1", "k2"])
+        rest = self.lines.filter("not used").select(*PLACE, "k1", F.lit(False).alias("gone"))
         return used.select(*PLACE, "k1", gone.alias("gone")).unionByName(rest)
 
     def report(self) -> DataFrame:
