@@ -13,10 +13,17 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of this application below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Folder of this application below spark.checkpoint.dir.
+
+    Where that is unset a local master gets a temporary folder; on a cluster the
+    driver's and the executors' folders would differ, so there it is an error.
+    """
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="voltweave-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
@@ -28,4 +35,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: its lineage is cut and its rows are computed once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop(*staged: DataFrame | None) -> None:
+    """Delete tables that stage() returned and that nothing reads any more; others are left alone."""
+    for df in staged:
+        if path := getattr(df, "_staged_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
