@@ -9,7 +9,7 @@ def tokens(line):
     w = line.lower().replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
     w = [x for x in w if x]
     if len(w) < 5:
-        return None
+        return {tuple(w)} if w else None
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
@@ -111,10 +111,21 @@ def test_lines_of_rows_at_one_place_meet_later_ones(make):
         assert sorted(str(r.doc_id) for r in got) == ["None", "None"]
 
 
-def test_short_lines_in_the_pipeline(spark, make):
+def test_short_lines(spark, make):
     import corpus_pipeline
 
     rows = [(1, "All rights reserved.\n\nown words of the first text here\n \t"), (2, "all  rights reserved.\n\nand of the second text other words\nAll rights"), (3, "Yes\nYes"), (4, "yes"), (5, None), (6, "")]
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, make(rows), "").collect()}
     assert got == {1: rows[0][1], 2: "\nand of the second text other words\nAll rights", 3: "Yes", 5: None, 6: ""}
-    assert {r.n_removed for r in ld.LineDedup(make(rows)).report().collect()} == {0}  # as the SQL has it
+    assert {r.doc_id: r.removed for r in ld.LineDedup(make(rows)).report().collect()} == {1: "", 2: "0", 3: "1", 4: "0", 5: "", 6: ""}
+
+
+def test_repeated_words_and_the_prefix(make):
+    # Lines of few different words, whose shingles begin with the same ones again and again.
+    rng = np.random.default_rng(5)
+    lines = [" ".join(rng.choice(["a", "b", "c", "d"], rng.integers(5, 40), p=[0.7, 0.2, 0.05, 0.05])) for _ in range(120)]
+    lines += [x + " a" for x in lines[:40]] + ["a " * 30 + "b", "a " * 31]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    want = brute(rows)
+    got = {r.doc_id: r.removed for r in ld.LineDedup(make(rows)).report().collect()}
+    assert got == {d: ",".join(map(str, w)) for d, w in want.items()}

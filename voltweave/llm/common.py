@@ -2,7 +2,8 @@
 
 Shared storage: intermediate tables and files go below the folder named by
 ``spark.checkpoint.dir``, which every executor can read.  Only where that
-setting is absent (unit tests, notebooks) a temporary folder is used.
+setting is absent and the master is local (unit tests, notebooks) a temporary
+folder is used.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from ..plans.staging import shared_dir, stage
+from ..plans.staging import drop, shared_dir, stage
 
-__all__ = ["WORD", "filesystem", "new_path", "publish", "rows", "shared_dir", "stage"]
+__all__ = ["WORD", "drop", "filesystem", "new_path", "publish", "rows", "shared_dir", "stage"]
 
 #: Regular expression of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -1,18 +1,18 @@
 """Line de-duplication by an exact set-similarity join (operator 9).  DataFrame operations only.
 
-A line's tokens are its five-word shingles (a shorter line: all its words as
-one), lower-cased, as a set of 64-bit values.  Two lines match if the Jaccard
-similarity of their sets is 0.8 or more.  A line is removed if it matches any
-earlier one: earlier by doc_id, then by its number in the document.  Lines of
-fewer than MIN_WORDS words stay in operator 9, as its SQL has it; with ``short``, as in
-the pipeline, those that repeat an earlier one word by word go too.  The layout of
-what is left stays.
+A line's tokens are its five-word shingles, lower-cased, as a set of 64-bit values.
+Two lines match if the Jaccard similarity of their sets is 0.8 or more; a line of
+one to four words has no shingle and matches those that equal it word by word.  A
+line is removed if it matches any earlier one: earlier by doc_id, then by its
+number in the document.  The layout of what is left stays.
 
 1. Equal lines are one class, held by its first line.
-2. A first prefix filter takes the order of the tokens' hashes (after the lengths of
-   their words, as frequent words are short): two sets that match share one of their
-   first n - ceil(0.8 n) + 1 tokens.  These meet in one sorted exchange.  Only lines
-   that share one stay; they are the candidates.
+2. A first prefix filter orders tokens by the hash of their first word, then by their
+   own (a token's upper bits are of the one, its lower bits of the other): two sets that
+   match share one of their first n - ceil(0.8 n) + 1 tokens.  A
+   line's words are hashed and sorted, and only the shingles that begin with the
+   smallest of them are built.  They meet in one sorted exchange, and only lines that
+   share one stay; they are the candidates.
 3. Among the candidates tokens are counted, and the rare ones decide: in the order by
    rarity those that no other candidate has come first.  A line that has more than
    a fifth of such tokens can't match.  Of a pair, the first shared token stands
@@ -22,7 +22,9 @@ what is left stays.
    near copies is settled at the cost of a few pairs each, and classes that settle
    nowhere meet every earlier class of the token: nothing is missed.  Within the join
    parity sketches drop pairs whose sets differ too much.
-5. Similarities are verified on whole sets, built again for candidate lines only.
+5. Similarities are verified on whole sets, built for candidate lines only.
+
+Tables of a step are deleted once the next ones are written.
 
 Defined cases: null text has no lines and stays null; a null doc_id comes first;
 rows that share a doc_id are told apart by a hash of their texts: lines with one
@@ -36,17 +38,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 WIDTH = 5
-MIN_WORDS = 5
 #: Documents with candidate lines up to which their ids are broadcast (about 16 bytes each).
 BROADCAST_IDS = 2_000_000
 SPACE = r"[\x20\x09-\x0D]+"
-#: Low bits of a word's and a token's value that are its hash; above them is how common it seems.
-HASH_BITS = 57
-#: Letters from which a word counts as rare.
-LONG = 15
+#: Low bits of a token that are its own hash; those above are of its first word's hash.
+OWN_BITS = 44
 FIRST = -(1 << 63)
 #: What tells a line from all others.
 PLACE = ["doc", "row", "line"]
@@ -61,31 +60,51 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _words(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("words", F.split(F.trim(F.lower("words"), F.lit(" \t\x0b\x0c\r")), SPACE))
+    """``words``: of the line; those that are parted by single blanks alone, as most are, need no pattern."""
+    line, low = F.col("words"), F.lower("words")
+    odd = [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")] + [F.startswith(line, F.lit(" ")), F.endswith(line, F.lit(" "))]
+    any_odd = odd[0]
+    for x in odd[1:]:
+        any_odd = any_odd | x
+    return lines.withColumn("words", F.when(any_odd, F.split(F.trim(low, F.lit(" \t\x0b\x0c\r")), SPACE)).otherwise(F.split(low, " ")))
+
+
+def _upper(x: Column) -> Column:
+    return F.shiftright(x, OWN_BITS)
+
+
+def _joined(first: Column, own: Column) -> Column:
+    """The upper bits of ``first`` with the lower bits of ``own``."""
+    low = (1 << OWN_BITS) - 1
+    return first.bitwiseAND(F.lit(~low)).bitwiseOR(own.bitwiseAND(F.lit(low)))
 
 
 def _tokens(lines: DataFrame) -> DataFrame:
-    """Adds n_words and the sorted set ``tokens``; each step is a column of its own, so it is computed once.
+    """Adds the sorted set ``tokens`` of lines of at least five words; each step is a column of its own, so it is computed once."""
+    hashed = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    token = lambda i: _joined(F.get("h", i), F.xxhash64(*[F.get("h", i + k) for k in range(WIDTH)]))
+    return hashed.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - WIDTH), token))))
 
-    A word's value has the length that it lacks to LONG in its top bits, below them its hash; so has
-    a shingle's, with the sum of its first and last word.
-    """
-    low = lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-    top = lambda x: F.shiftright(x, HASH_BITS)
-    word = lambda w: low(F.xxhash64(w)).bitwiseOR(F.shiftleft((LONG - F.least(F.length(w), F.lit(LONG))).cast("long"), HASH_BITS))
-    hashed = lines.withColumn("h", F.transform("words", word))
 
-    def token(i: Column) -> Column:
-        at = [F.get("h", i + k) for k in range(WIDTH)]
-        return low(F.xxhash64(*at)).bitwiseOR(F.shiftleft(top(at[0]) + top(at[-1]), HASH_BITS))
+def _prefix(lines: DataFrame) -> DataFrame:
+    """Adds ``prefix`` to lines of at least five words: tokens among which are the first n - ceil(0.8 n) + 1 of their n.
 
-    sets = F.when(F.size("h") < WIDTH, F.array(low(F.xxhash64("h")))).otherwise(F.transform(F.sequence(F.lit(0), F.size("h") - WIDTH), token))
-    return hashed.withColumn("n_words", F.size("words")).withColumn("tokens", F.sort_array(F.array_distinct(sets)))
+    All shingles are taken that begin with one of the smallest different first words,
+    as many of these as tokens are needed, or all shingles where there are not as many.
+    n is counted with repeats, which makes the prefix longer and never shorter.
+    """
+    n = F.size("words") - (WIDTH - 1)
+    places = F.transform(F.slice("words", F.lit(1), n), lambda w, i: _joined(F.xxhash64(w), i.cast("long")))
+    out = lines.withColumn("need", (n - F.ceil(n * 4 / 5 - 1e-9) + 1).cast("int")).withColumn("places", F.sort_array(places))
+    out = out.withColumn("some", F.slice("places", F.lit(1), F.col("need") * 2 + 2))
+    out = out.withColumn("stop", F.get(F.array_distinct(F.transform("some", _upper)), F.col("need")))
+    out = out.withColumn("taken", F.when(F.col("stop").isNull(), F.col("places")).otherwise(F.filter("some", lambda x: _upper(x) < F.col("stop"))))
+    word = lambda x, k: F.xxhash64(F.get("words", x.bitwiseAND(F.lit((1 << OWN_BITS) - 1)).cast("int") + k))
+    return out.withColumn("prefix", F.array_distinct(F.transform("taken", lambda x: _joined(x, F.xxhash64(*[word(x, k) for k in range(WIDTH)])))))
 
 
 def _class(words: Column) -> list[Column]:
-    joined = F.concat_ws(" ", words)
-    return [F.xxhash64(joined).alias("k1"), F.xxhash64(F.lit(1), joined).alias("k2")]
+    return [F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2")]
 
 
 def _overlap_needed(n: Column, m: Column) -> Column:
@@ -107,24 +126,21 @@ def _can_match() -> Column:
 
 
 class LineDedup:
-    def __init__(self, documents: DataFrame, min_words: int = MIN_WORDS, short: bool = False):
-        self.documents, self.min_words = documents.select("doc_id", "text"), min_words
+    def __init__(self, documents: DataFrame):
+        self.documents = documents.select("doc_id", "text")
         repeated = stage(self.documents.groupBy(_doc().alias("__vw_repeated")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("__vw_repeated"), "line-ids")
         self.repeated, self.n_repeated = repeated, repeated.count()
-        sized = _tokens(_words(_lines(self._keyed(self.documents, "doc", "row"))))
-        n = F.size("tokens")
-        usable = F.coalesce(F.col("n_words") >= min_words, F.lit(False))
-        few = ~usable & (F.concat_ws("", "words") != "") if short else F.lit(False)
-        prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * 4 / 5 - 1e-9).cast("int") + 1)
-        self.lines = stage(
-            sized.select(*PLACE, *_class(F.col("words")), F.when(usable, n).alias("n"), F.when(usable, prefix).alias("prefix"), (usable | few).alias("used")), "lines"
-        )
+        split = _words(_lines(self._keyed(self.documents, "doc", "row")))
+        sized = split.withColumn("words", F.when(F.get("words", F.lit(0)) != "", F.col("words")))  # an empty line has no words
+        long = sized.withColumn("long", F.coalesce(F.size("words") >= WIDTH, F.lit(False)))
+        prefixed = _prefix(long.withColumn("all", F.col("words")).withColumn("words", F.when(F.col("long"), F.col("words"))))
+        self.lines = stage(prefixed.select(*PLACE, *_class(F.col("all")), "prefix", "long", F.col("all").isNotNull().alias("used")), "lines")
         removed = self._matches()
         used = self.lines.filter("used")
-        removed = removed.distinct()
         firsts = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row")).alias("f")).select("k1", "k2", *[F.col(f"f.{c}").alias(f"f_{c}") for c in PLACE])
         same = (F.col("f_doc") == removed["doc"]) & (F.col("f_row") == removed["row"]) & (F.col("f_line") == removed["line"])
         self.classes = stage(firsts.join(removed, same, "left").select("k1", "k2", "f_doc", "f_line", F.col("line").isNotNull().alias("gone")), "line-classes")
+        drop(*self._settled)
 
     def _keyed(self, documents: DataFrame, doc: str, row: str) -> DataFrame:
         """``documents`` with the columns ``doc`` and ``row``: a hash of the text where rows share a doc_id, else 0."""
@@ -137,8 +153,7 @@ class LineDedup:
 
     def _matches(self) -> DataFrame:
         """(doc, row, line) of the first lines of classes that match an earlier class."""
-        used = self.lines.filter("n is not null")
-        classes = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row", "prefix")).alias("f"))
+        classes = self.lines.filter("long").groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row", "prefix")).alias("f"))
         spread = classes.select(F.explode("f.prefix").alias("token"), *[f"f.{c}" for c in PLACE])
         order = Window.partitionBy("token").orderBy("doc", "line", "row")
         ranked = spread.select("*", F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in PLACE])
@@ -150,25 +165,29 @@ class LineDedup:
         # Tokens of their own come first in the order by rarity, so they fill places of a line's prefix.
         places = F.col("held") - F.ceil(F.col("n") * 4 / 5 - 1e-9) + 1
         shared = shared.select("token", *PLACE, "rank").join(own, PLACE)
-        shared = shared.withColumn("place", F.row_number().over(Window.partitionBy(*PLACE).orderBy("token"))).filter(F.col("place") <= places).drop("place")
-        shared = stage(shared, "line-shared")
+        shared = stage(shared.withColumn("place", F.row_number().over(Window.partitionBy(*PLACE).orderBy("token"))).filter(F.col("place") <= places).drop("place"), "line-shared")
         other = own.withColumnsRenamed({c: f"l_{c}" for c in own.columns})
         both = [*PLACE, *[f"l_{c}" for c in PLACE]]
         # The first class with the token, once for each pair of classes whatever number of tokens they share.
         pairs = later.filter("doc <> l_doc or line <> l_line").select(*both).distinct().join(own, PLACE).join(other, both[3:]).filter(_can_match())
         done = self._verified(stage(pairs.select(*both), "line-near"), sets)
+        drop(later)
+        self._settled = [done]
         # The others, in growing stretches: most of a group of near copies is settled by the first of them.
         open_, low, high = stage(shared.filter("rank > 2").join(done, PLACE, "left_anti"), "line-open"), 2, 2
         while top := open_.agg(F.max("rank")).first()[0]:
             earlier = shared.filter(F.col("rank").between(low, high)).withColumnsRenamed({c: f"l_{c}" for c in shared.columns if c != "token"})
             pairs = open_.join(earlier, "token").filter("l_rank < rank and (doc <> l_doc or line <> l_line)").filter(_can_match())
             settled = self._verified(stage(pairs.select(*both).distinct(), "line-near"), sets)
+            self._settled.append(settled)
             done = done.unionByName(settled)
             if high + 1 >= top:
                 break
-            open_ = stage(open_.filter(F.col("rank") > high + 1).join(settled, PLACE, "left_anti"), "line-open")
+            before, open_ = open_, stage(open_.filter(F.col("rank") > high + 1).join(settled, PLACE, "left_anti"), "line-open")
+            drop(before)
             low, high = high + 1, 4 * high
-        return done
+        drop(sets, own, shared, open_)
+        return done.distinct()
 
     def _held(self, sets: DataFrame) -> DataFrame:
         """doc, line, n, held, parity of the lines that can match at all; held: tokens that another candidate line has too.
@@ -183,7 +202,7 @@ class LineDedup:
         return sets.join(alone, "sid", "left").filter(held * 5 >= n * 4).select(*PLACE, n.alias("n"), held.cast("int").alias("held"), "parity")
 
     def _sets(self, places: DataFrame) -> DataFrame:
-        """Whole token sets and their parities of the given lines, built from their texts again."""
+        """Whole token sets and their parities of the given lines, built from their texts."""
         wanted = stage(places.groupBy("doc", "row").agg(F.collect_set("line").alias("lines"), F.count(F.lit(1)).alias("n")), "line-wanted")
         size = wanted.agg(F.count(F.lit(1)), F.sum("n")).first()
         small = size[0] + (size[1] or 0) <= BROADCAST_IDS
@@ -193,10 +212,13 @@ class LineDedup:
         split = texts.withColumn("split", F.split("text", "\n"))
         lines = split.select("doc", "row", F.explode("lines").alias("line"), "split").select(*PLACE, F.get("split", F.col("line")).alias("words")).filter("words is not null")
         parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-        return stage(_tokens(_words(lines)).filter(F.col("n_words") >= self.min_words).select(F.monotonically_increasing_id().alias("sid"), *PLACE, "tokens", parity.alias("parity")), "line-sets")
+        whole = _tokens(_words(lines).filter(F.size("words") >= WIDTH))
+        out = stage(whole.select(F.monotonically_increasing_id().alias("sid"), *PLACE, "tokens", parity.alias("parity")), "line-sets")
+        drop(wanted)
+        return out
 
     def _verified(self, near: DataFrame, sets: DataFrame) -> DataFrame:
-        """(doc, row, line) of the pairs whose sets have a similarity of 0.8 or more."""
+        """(doc, row, line) of the staged pairs ``near`` whose sets have a similarity of 0.8 or more."""
         small = near.count() <= BROADCAST_IDS
         hint = F.broadcast if small else (lambda df: df)
         earlier = [f"l_{c}" for c in PLACE]
@@ -204,7 +226,9 @@ class LineDedup:
         right = sets.join(hint(near.select(*[F.col(f"l_{c}").alias(c) for c in PLACE]).distinct()), PLACE, "left_semi")
         both = left.join(right.select(*[F.col(c).alias(f"l_{c}") for c in PLACE], F.col("tokens").alias("l_tokens")), earlier)
         overlap = F.size(F.array_intersect("tokens", "l_tokens"))
-        return stage(both.filter(overlap >= _overlap_needed(F.size("tokens"), F.size("l_tokens"))).select(*PLACE).distinct(), "line-settled")
+        out = stage(both.filter(overlap >= _overlap_needed(F.size("tokens"), F.size("l_tokens"))).select(*PLACE).distinct(), "line-settled")
+        drop(near)
+        return out
 
     def flagged(self) -> DataFrame:
         """doc, row, line, k1 and gone of every line (line null for documents without any)."""
@@ -242,7 +266,7 @@ WITH lines AS (
 words AS (
   SELECT doc_id, line, string_split_regex(trim(translate(lower(t), chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' +') AS w FROM lines),
 sets AS (
-  SELECT doc_id, line, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s, array_to_string(w, ' ') AS k FROM words WHERE len(w) >= 5),
+  SELECT doc_id, line, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s, array_to_string(w, ' ') AS k FROM words WHERE w[1] <> ''),
 classes AS (SELECT k, min((doc_id, line)) AS first, any_value(s) AS s, len(any_value(s)) AS n FROM sets GROUP BY k),
 tokens AS (SELECT k, first, n, unnest(s) AS t FROM classes),
 counts AS (SELECT t, count(*) AS c FROM tokens GROUP BY t),
