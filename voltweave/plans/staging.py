@@ -41,9 +41,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*staged: DataFrame | None) -> None:
-    """Delete tables that stage() returned and that nothing reads any more; others are left alone."""
+    """Delete tables that stage() returned and that nothing reads any more; others are left alone.
+
+    A collection in the driver's JVM after it lets Spark's cleaner remove the shuffle files of the steps that are done.
+    """
+    spark = None
     for df in staged:
         if path := getattr(df, "_staged_at", None):
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if spark is not None:
+        spark._jvm.System.gc()
