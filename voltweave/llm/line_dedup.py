@@ -80,27 +80,30 @@ def _joined(first: Column, own: Column) -> Column:
 
 
 def _tokens(lines: DataFrame) -> DataFrame:
-    """Adds the sorted set ``tokens`` of lines of at least five words; each step is a column of its own, so it is computed once."""
+    """Adds the set ``tokens`` of lines of at least five words; each step is a column of its own, so it is computed once."""
     hashed = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     token = lambda i: _joined(F.get("h", i), F.xxhash64(*[F.get("h", i + k) for k in range(WIDTH)]))
-    return hashed.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - WIDTH), token))))
+    return hashed.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - WIDTH), token)))
 
 
 def _prefix(lines: DataFrame) -> DataFrame:
-    """Adds ``prefix`` to lines of at least five words: tokens among which are the first n - ceil(0.8 n) + 1 of their n.
+    """Adds ``prefix`` to lines of at least five words: their first n - ceil(0.8 n) + 1 tokens.
 
-    All shingles are taken that begin with one of the smallest different first words,
+    Built are all shingles that begin with one of the smallest different first words,
     as many of these as tokens are needed, or all shingles where there are not as many.
     n is counted with repeats, which makes the prefix longer and never shorter.
     """
     n = F.size("words") - (WIDTH - 1)
     places = F.transform(F.slice("words", F.lit(1), n), lambda w, i: _joined(F.xxhash64(w), i.cast("long")))
     out = lines.withColumn("need", (n - F.ceil(n * 4 / 5 - 1e-9) + 1).cast("int")).withColumn("places", F.sort_array(places))
-    out = out.withColumn("some", F.slice("places", F.lit(1), F.col("need") * 2 + 2))
-    out = out.withColumn("stop", F.get(F.array_distinct(F.transform("some", _upper)), F.col("need")))
-    out = out.withColumn("taken", F.when(F.col("stop").isNull(), F.col("places")).otherwise(F.filter("some", lambda x: _upper(x) < F.col("stop"))))
+    few, some = F.slice("places", F.lit(1), F.col("need") + 1), F.slice("places", F.lit(1), F.col("need") * 2 + 2)
+    out = out.withColumn("firsts", F.array_distinct(F.transform(few, _upper)))
+    # Where the first words that are needed differ, and from the next, the places are those needed.
+    out = out.withColumn("stop", F.when(F.size("firsts") <= F.col("need"), F.coalesce(F.get(F.array_distinct(F.transform(some, _upper)), F.col("need")), F.lit(1 << 63 - OWN_BITS))))
+    out = out.withColumn("taken", F.when(F.col("stop").isNull(), F.slice("places", F.lit(1), F.col("need"))).when(F.col("stop") == 1 << 63 - OWN_BITS, F.col("places")).otherwise(F.filter(some, lambda x: _upper(x) < F.col("stop"))))
     word = lambda x, k: F.xxhash64(F.get("words", x.bitwiseAND(F.lit((1 << OWN_BITS) - 1)).cast("int") + k))
-    return out.withColumn("prefix", F.array_distinct(F.transform("taken", lambda x: _joined(x, F.xxhash64(*[word(x, k) for k in range(WIDTH)])))))
+    tokens = F.array_distinct(F.transform("taken", lambda x: _joined(x, F.xxhash64(*[word(x, k) for k in range(WIDTH)]))))
+    return out.withColumn("built", tokens).withColumn("prefix", F.when(F.size("built") <= F.col("need"), F.col("built")).otherwise(F.slice(F.sort_array("built"), F.lit(1), F.col("need"))))
 
 
 def _class(words: Column) -> list[Column]:
@@ -135,12 +138,14 @@ class LineDedup:
         long = sized.withColumn("long", F.coalesce(F.size("words") >= WIDTH, F.lit(False)))
         prefixed = _prefix(long.withColumn("all", F.col("words")).withColumn("words", F.when(F.col("long"), F.col("words"))))
         self.lines = stage(prefixed.select(*PLACE, *_class(F.col("all")), "prefix", "long", F.col("all").isNotNull().alias("used")), "lines")
-        removed = self._matches()
-        used = self.lines.filter("used")
-        firsts = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row")).alias("f")).select("k1", "k2", *[F.col(f"f.{c}").alias(f"f_{c}") for c in PLACE])
-        same = (F.col("f_doc") == removed["doc"]) & (F.col("f_row") == removed["row"]) & (F.col("f_line") == removed["line"])
-        self.classes = stage(firsts.join(removed, same, "left").select("k1", "k2", "f_doc", "f_line", F.col("line").isNotNull().alias("gone")), "line-classes")
-        drop(*self._settled)
+        members = self.lines.filter("used").groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row", "prefix")).alias("f"), F.count(F.lit(1)).alias("members"))
+        firsts = stage(members.select("k1", "k2", "members", "f.*"), "line-firsts")
+        removed = stage(self._matches(firsts), "line-removed").withColumn("gone", F.lit(True))
+        hint = F.broadcast if removed.count() <= BROADCAST_IDS else (lambda df: df)
+        several = firsts.drop("prefix").join(hint(removed), PLACE, "left").filter("members > 1 or gone")
+        #: Classes of more than one line and those that go, with their first line.
+        self.classes = stage(several.select("k1", "k2", *[F.col(c).alias(f"f_{c}") for c in PLACE], F.coalesce("gone", F.lit(False)).alias("gone")), "line-classes")
+        drop(firsts, removed)
 
     def _keyed(self, documents: DataFrame, doc: str, row: str) -> DataFrame:
         """``documents`` with the columns ``doc`` and ``row``: a hash of the text where rows share a doc_id, else 0."""
@@ -151,44 +156,52 @@ class LineDedup:
         keyed = keyed.join(ids, F.col(doc) == F.col("__vw_repeated"), "left")
         return keyed.withColumn(row, F.when(F.col("__vw_repeated").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("__vw_repeated")
 
-    def _matches(self) -> DataFrame:
+    def _matches(self, firsts: DataFrame) -> DataFrame:
         """(doc, row, line) of the first lines of classes that match an earlier class."""
-        classes = self.lines.filter("long").groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row", "prefix")).alias("f"))
-        spread = classes.select(F.explode("f.prefix").alias("token"), *[f"f.{c}" for c in PLACE])
+        spread = firsts.select(F.explode("prefix").alias("token"), *PLACE)
         order = Window.partitionBy("token").orderBy("doc", "line", "row")
         ranked = spread.select("*", F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in PLACE])
         later = stage(ranked.filter("rank > 1"), "line-later")
-        first = later.select("token", *[F.col(f"l_{c}").alias(c) for c in PLACE], F.lit(1).alias("rank")).distinct()
-        shared = later.select("token", *PLACE, "rank").unionByName(first)
-        sets = self._sets(shared.select(*PLACE).distinct())
-        own = stage(self._held(sets), "line-own")
-        # Tokens of their own come first in the order by rarity, so they fill places of a line's prefix.
-        places = F.col("held") - F.ceil(F.col("n") * 4 / 5 - 1e-9) + 1
-        shared = shared.select("token", *PLACE, "rank").join(own, PLACE)
-        shared = stage(shared.withColumn("place", F.row_number().over(Window.partitionBy(*PLACE).orderBy("token"))).filter(F.col("place") <= places).drop("place"), "line-shared")
-        other = own.withColumnsRenamed({c: f"l_{c}" for c in own.columns})
+        first = [F.col(f"l_{c}").alias(c) for c in PLACE]
+        sets = self._sets(later.select(*PLACE).unionByName(later.select(*first)).distinct())
         both = [*PLACE, *[f"l_{c}" for c in PLACE]]
         # The first class with the token, once for each pair of classes whatever number of tokens they share.
-        pairs = later.filter("doc <> l_doc or line <> l_line").select(*both).distinct().join(own, PLACE).join(other, both[3:]).filter(_can_match())
-        done = self._verified(stage(pairs.select(*both), "line-near"), sets)
+        own = sets.select(*PLACE, F.size("tokens").alias("n"), F.size("tokens").alias("held"), "parity")
+        pairs = later.filter("doc <> l_doc or line <> l_line").select(*both).distinct()
+        done = self._verified(stage(self._near(pairs, own).select(*both), "line-near"), sets)
+        settled = [done]
+        # The others, where a token has more than two classes.
+        many = later.filter("rank > 2").select("token").distinct()
+        shared = later.join(many, "token", "left_semi")
+        shared = stage(shared.select("token", *PLACE, "rank").unionByName(shared.select("token", *first, F.lit(1).alias("rank")).distinct()), "line-many")
         drop(later)
-        self._settled = [done]
-        # The others, in growing stretches: most of a group of near copies is settled by the first of them.
-        open_, low, high = stage(shared.filter("rank > 2").join(done, PLACE, "left_anti"), "line-open"), 2, 2
+        own = stage(self._held(sets.join(shared.select(*PLACE).distinct(), PLACE, "left_semi")), "line-own")
+        # Tokens of their own come first in the order by rarity, so they fill places of a line's prefix.
+        places = F.col("held") - F.ceil(F.col("n") * 4 / 5 - 1e-9) + 1
+        ranked = shared.join(own, PLACE).withColumn("place", F.row_number().over(Window.partitionBy(*PLACE).orderBy("token")))
+        few = stage(ranked.filter(F.col("place") <= places).drop("place"), "line-shared")
+        drop(shared, own)
+        # In growing stretches: most of a group of near copies is settled by the first of them.
+        open_, low, high = stage(few.filter("rank > 2").join(done, PLACE, "left_anti"), "line-open"), 2, 2
         while top := open_.agg(F.max("rank")).first()[0]:
-            earlier = shared.filter(F.col("rank").between(low, high)).withColumnsRenamed({c: f"l_{c}" for c in shared.columns if c != "token"})
+            earlier = few.filter(F.col("rank").between(low, high)).withColumnsRenamed({c: f"l_{c}" for c in few.columns if c != "token"})
             pairs = open_.join(earlier, "token").filter("l_rank < rank and (doc <> l_doc or line <> l_line)").filter(_can_match())
-            settled = self._verified(stage(pairs.select(*both).distinct(), "line-near"), sets)
-            self._settled.append(settled)
-            done = done.unionByName(settled)
+            settled.append(self._verified(stage(pairs.select(*both).distinct(), "line-near"), sets))
             if high + 1 >= top:
                 break
-            before, open_ = open_, stage(open_.filter(F.col("rank") > high + 1).join(settled, PLACE, "left_anti"), "line-open")
+            before, open_ = open_, stage(open_.filter(F.col("rank") > high + 1).join(settled[-1], PLACE, "left_anti"), "line-open")
             drop(before)
             low, high = high + 1, 4 * high
-        drop(sets, own, shared, open_)
+        drop(sets, few, open_)
+        for more in settled[1:]:
+            done = done.unionByName(more)
         return done.distinct()
 
+    def _near(self, pairs: DataFrame, own: DataFrame) -> DataFrame:
+        """Of pairs those that lengths and parities allow.  own: place, n, held, parity."""
+        other = own.withColumnsRenamed({c: f"l_{c}" for c in own.columns})
+        return pairs.join(own, PLACE).join(other, [f"l_{c}" for c in PLACE]).filter(_can_match())
+
     def _held(self, sets: DataFrame) -> DataFrame:
         """doc, line, n, held, parity of the lines that can match at all; held: tokens that another candidate line has too.
 
@@ -210,7 +223,8 @@ class LineDedup:
         if self.n_repeated:  # equal rows are one
             texts = texts.filter("row = 0").unionByName(texts.filter("row <> 0").dropDuplicates(["doc", "row"]))
         split = texts.withColumn("split", F.split("text", "\n"))
-        lines = split.select("doc", "row", F.explode("lines").alias("line"), "split").select(*PLACE, F.get("split", F.col("line")).alias("words")).filter("words is not null")
+        wanted_lines = F.transform("lines", lambda k: F.struct(k.alias("line"), F.get("split", k).alias("words")))
+        lines = split.select("doc", "row", F.explode(wanted_lines).alias("l")).select("doc", "row", "l.*").filter("words is not null")
         parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
         whole = _tokens(_words(lines).filter(F.size("words") >= WIDTH))
         out = stage(whole.select(F.monotonically_increasing_id().alias("sid"), *PLACE, "tokens", parity.alias("parity")), "line-sets")
@@ -230,25 +244,26 @@ class LineDedup:
         drop(near)
         return out
 
-    def flagged(self) -> DataFrame:
-        """doc, row, line, k1 and gone of every line (line null for documents without any)."""
-        gone = F.coalesce(F.col("gone") | (F.col("doc") != F.col("f_doc")) | (F.col("line") != F.col("f_line")), F.lit(False))
-        used = self.lines.filter("used").select(*PLACE, "k1", "k2").join(self.classes, ["k1", "k2"])
-        rest = self.lines.filter("not used").select(*PLACE, "k1", F.lit(False).alias("gone"))
-        return used.select(*PLACE, "k1", gone.alias("gone")).unionByName(rest)
+    def gone(self) -> DataFrame:
+        """doc, row and line of every line that goes."""
+        classes = F.broadcast(self.classes) if self.classes.count() <= BROADCAST_IDS else self.classes
+        used = self.lines.filter("used").select(*PLACE, "k1", "k2").join(classes, ["k1", "k2"])
+        return used.filter((F.col("gone")) | (F.col("doc") != F.col("f_doc")) | (F.col("line") != F.col("f_line"))).select(*PLACE)
 
     def report(self) -> DataFrame:
         """doc_id, n_lines, n_removed and the numbers of the removed lines (from 0, as text) of each document."""
-        numbers = F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("gone"), F.col("line")))))
-        found = self.flagged().groupBy("doc").agg(F.count("line").alias("n_lines"), F.count(F.when(F.col("gone"), 1)).alias("n_removed"), numbers.alias("removed"))
-        return found.select(F.when(F.col("doc") != FIRST, F.col("doc")).alias("doc_id"), "n_lines", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+        every = self.lines.groupBy("doc").agg(F.count("line").alias("n_lines"))
+        numbers = F.concat_ws(",", F.array_sort(F.collect_set("line")).cast("array<string>"))
+        gone = self.gone().groupBy("doc").agg(F.count(F.lit(1)).alias("n"), numbers.alias("numbers"))
+        removed = [F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("numbers", F.lit("")).alias("removed")]
+        return every.join(gone, "doc", "left").select(F.when(F.col("doc") != FIRST, F.col("doc")).alias("doc_id"), "n_lines", *removed)
 
     def apply(self, documents: DataFrame) -> DataFrame:
         """``documents`` without the removed lines, and without those that lost all of theirs; n_chars follows.
 
         The removed lines' numbers are broadcast if they are few; else texts are shuffled once.
         """
-        gone = self.flagged().filter("gone").groupBy(F.col("doc").alias("__vw_doc"), F.col("row").alias("__vw_row")).agg(F.collect_set("line").alias("__vw_gone"), F.count(F.lit(1)).alias("__vw_n"))
+        gone = self.gone().groupBy(F.col("doc").alias("__vw_doc"), F.col("row").alias("__vw_row")).agg(F.collect_set("line").alias("__vw_gone"), F.count(F.lit(1)).alias("__vw_n"))
         gone = stage(gone, "line-gone")
         size = gone.agg(F.count(F.lit(1)), F.sum("__vw_n")).first()
         small = size[0] + (size[1] or 0) <= BROADCAST_IDS
