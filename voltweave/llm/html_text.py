@@ -1,19 +1,23 @@
 """Main text of web pages by a minimum cut (operator 5).
 
 A page becomes text blocks (the stretches between block-level tags) under their
-containers.  Consecutive blocks of one container with the same look are one node.
-A linear classifier over structure, class names, link share and length gives each
-node log-odds z of being content; the costs of the two labels, log(1 + exp(-z))
-and log(1 + exp(z)), are the capacities to the terminals.  Neighbours in page
-order are joined by an edge that weakens with their distance in the DOM tree, and
-nodes of the same container by another.  The maximum flow separates content from
-the rest.
+containers; each block is a node.  A linear classifier gives it log-odds z of being
+content from its words, closing punctuation, share of linked text and tag, and,
+within bounds, from what its containers are and whether the page's article lies
+elsewhere.  The costs of the two labels, log(1 + exp(-z)) and log(1 + exp(z)), are
+the capacities to the terminals.  Blocks that follow each other are joined by an
+edge that weakens with their distance in the DOM tree and with the difference of
+their containers' scores, and so is each block with the one before it in its
+container.  The maximum flow separates content from the rest: a short heading or a
+linked sentence goes with the paragraphs around it, a list of links does not.
 
 Defined cases: null or empty html gives an empty text; so does a page without
-content.  Unclosed and stray tags, comments and attributes with ">" are taken as
-browsers do, near enough.  White space is what Python's str.split takes it for,
-after character references were decoded.  A null page_id or url stays null;
-repeated rows stay; an empty table gives no rows.  Other columns are not read.
+content.  Tags, comments, quoted and unquoted attributes are read as browsers do, in
+one pass whatever the length: a tag that never ends takes the rest of the page, as
+does a script or the like that is never closed.  White space is what Python's
+str.split takes it for, after character references were decoded.  Blocks of equal
+cost for both labels are left out.  A null page_id or url stays null; repeated rows
+stay; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +37,25 @@ from .common import rows
 # Element names of HTML by their role here.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th caption figcaption summary tr tbody thead tfoot ul ol dl table address center hgroup".split())
-SILENT = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object canvas audio video datalist".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-
-# What containers say for (positive) or against content, in log-odds.
-TAGS = {"article": 5.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -5.0, "button": -9.0, "select": -9.0, "option": -9.0, "menu": -9.0, "dialog": -9.0, "label": -9.0, "fieldset": -6.0, "legend": -6.0, "search": -9.0, "head": -12.0}
-ROLES = {"navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "form": -9.0, "alert": -9.0, "dialog": -9.0, "alertdialog": -9.0, "menu": -9.0, "menubar": -9.0, "toolbar": -9.0, "main": 3.0, "article": 5.0}
+#: Their content is text that no markup ends but their own closing tag.
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+#: Their content is not shown, or only where the element itself can't be.
+MUTED = frozenset("template svg object canvas audio video datalist annotation annotation-xml".split())
+
+# Weights of the classifier, in log-odds, set by hand on the marked pages of the tests.
+#: What containers say.
+TAGS = {"article": 1.0, "main": 0.8, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -5.5, "header": -5.0, "button": -6.0, "select": -6.0, "option": -6.0, "menu": -6.0, "dialog": -6.0, "label": -5.0, "fieldset": -4.0, "legend": -4.0, "search": -6.0, "head": -8.0}
+ROLES = {"navigation": -6.0, "banner": -6.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -5.5, "alert": -6.0, "dialog": -6.0, "alertdialog": -6.0, "menu": -6.0, "menubar": -6.0, "toolbar": -6.0, "main": 0.8, "article": 1.0}
+NAMED_FOR, NAMED_AGAINST, HIDDEN = 0.6, -6.0, -8.0
+MOST_FOR, MOST_AGAINST = 2.0, -8.0
+#: For a block outside of the article or main part that holds most of the page's words.
+OUTSIDE = -2.0
+#: Text: a constant, a doubling of the words (up to so much), a sentence (up to so many), links, and tags.
+TEXT, DOUBLING, LONGEST, SENTENCE, SENTENCES, LINKED, TITLE, HEADING, ITEM = -2.4, 0.65, 4.5, 0.5, 3, -3.6, 2.5, 0.7, -0.5
+#: Edges: between blocks that follow each other, and in one container; how they weaken with distance and contrast.
+NEXT, SAME, FAR, CONTRAST = 1.6, 0.8, 3.0, 2.5
+
+# What class names speak against an element, or for it.
 AGAINST = re.compile(
     r"^(ad|ads|adv|advert\w*|adbox\w*|adslot\w*|adunit\w*|adwrap\w*|adcontainer|adbanner|adblock|adspace|adtext|adsby\w*|adsense|aside|banner\w*|promo\w*|sponsor\w*|menu\w*|nav\w*|side|sidebar\w*|rail|foot|footer\w*|masthead|topbar|breadcrumb\w*|crumbs?|cookie\w*|consent|gdpr|privacy|notice\w*|notification\w*|alert\w*|warning|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|register|search\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|comment\w*|replies|reply|respond|discussion|disqus|feedback|widget\w*|toolbar\w*|tags?|pagination|pager|copyright|legal|disclaimer|skip|toc|hidden|print|jump|paywall|teaser\w*|outbrain|taboola)$"
 )
@@ -57,12 +74,12 @@ TERMS = frozenset("category tag term tax taxonomy type format status hidden visi
 #: Their own class names don't speak against these.
 WHOLE = frozenset("html body main article".split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
-#: The same without regard to quotes, once a page has shown UNCLOSED tags that never end (else time would be quadratic).
-ROUGH = re.compile(r"<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
-UNCLOSED = 50
+TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|(</?[a-zA-Z])|[^<]+|<", re.S)
+#: A tag: quotes count in values only, as in browsers.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)>")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-CLOSING = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in SILENT}
+CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
+END_OF_SENTENCE = re.compile(r"[.!?…。][\"”»)]?(?=\s|$)")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -84,7 +101,7 @@ def subjects(name: str) -> list[str]:
 class Box:
     """An open block-level element."""
 
-    __slots__ = ("tag", "up", "depth", "pro", "contra", "loose", "inside", "named")
+    __slots__ = ("tag", "up", "depth", "pro", "contra", "loose", "inside", "part", "named")
 
     def __init__(self, tag: str, up: Box | None, attributes: str):
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
@@ -99,34 +116,47 @@ class Box:
             if name == "role":
                 signs.append(ROLES.get(value.lower(), 0.0))
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                signs.append(-9.0)
+                signs.append(HIDDEN)
             elif name in ("class", "id", "itemprop"):
                 words = [w.lower() for w in NAME.findall(value)]
                 self.named |= bool(words)
                 of = [w for n in value.split() for w in subjects(n)]
                 if any(AGAINST.match(w) or (HEAD.match(w) and not self.inside) for w in of):
-                    against -= 9.0
+                    against += NAMED_AGAINST
                 elif any(FOR.match(w) for w in words):
-                    signs.append(2.0)
+                    signs.append(NAMED_FOR)
         pro, contra = sum(s for s in signs if s > 0), sum(s for s in signs if s < 0)
-        # What speaks for a container is bounded, so that one sign against a part of it outweighs it.
-        self.pro = min(5.0, (up.pro if up else 0.0) + pro)
+        # Both are bounded, so that one sign against a part of an article outweighs what speaks for the whole.
+        self.pro = min(MOST_FOR, (up.pro if up else 0.0) + pro)
         self.contra = (up.contra if up else 0.0) + contra
         # A page's article starts anew in what names and forms around it say, but not a comment or teaser by its own name.
         anew = tag == "main" or (tag == "article" and not self.inside and not against)
         self.loose = (0.0 if anew or not up else up.loose) + form + (0.0 if tag in WHOLE else against)
+        #: The outermost article or main part around it.
+        self.part = up.part if up and up.part else self if anew else None
 
     @property
-    def z(self) -> float:
-        return self.pro + self.contra + self.loose
+    def score(self) -> float:
+        return self.pro + max(MOST_AGAINST, self.contra + self.loose)
+
+
+class Block:
+    """Text between block-level tags: its container, tag, and share of linked text."""
+
+    __slots__ = ("box", "tag", "text", "linked", "words")
 
+    def __init__(self, box: Box, tag: str, text: str, linked: float):
+        self.box, self.tag, self.text, self.linked = box, tag, text, linked
+        self.words = text.count(" ") + 1
 
-def blocks(page: str) -> list[tuple[Box, str, str, float]]:
-    """(container, tag, text, share of linked text) of each block in page order."""
-    out: list[tuple[Box, str, str, float]] = []
-    top = Box("html", None, "")
-    box, text, linked, in_link = top, [], 0, False
-    at, size, unclosed, token = 0, len(page), 0, TOKEN
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in their order."""
+    out: list[Block] = []
+    box, text, linked, in_link = Box("html", None, ""), [], 0, False
+    mute: list[str] = []  # open elements whose content is not shown ...
+    within: dict[str, int] = {}  # ... and elements that were opened in them
+    at, size = 0, len(page)
 
     def flush() -> None:
         nonlocal linked, in_link
@@ -134,29 +164,42 @@ def blocks(page: str) -> list[tuple[Box, str, str, float]]:
             own = " ".join(_html.unescape("".join(text)).split())
             if own:
                 whole = box
-                tag = whole.tag
-                while whole.tag in LEAVES and not whole.named and whole.up and whole.z == whole.up.z:
+                while whole.tag in LEAVES and not whole.named and whole.up and whole.score == whole.up.score:
                     whole = whole.up
-                out.append((whole, tag, own, min(1.0, linked / len(own))))
+                out.append(Block(whole, box.tag, own, min(1.0, linked / len(own))))
             text.clear()
         linked, in_link = 0, False
 
     while at < size:
-        m = token.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            part = m[0]
-            if part == "<":
-                unclosed += 1
-                token = ROUGH if unclosed > UNCLOSED else token
-            if part[0] != "<" or part == "<":
+        m = TOKEN.match(page, at)
+        part = m[0]
+        if part[0] != "<" or part == "<":
+            at = m.end()
+            if not mute:
                 text.append(part)
                 if in_link:
                     linked += len(part)
             continue
-        tag = tag.lower()
+        if not m[1]:  # a comment
+            at = m.end()
+            continue
+        m = TAG.match(page, at)
+        if m is None:  # a tag that never ends
+            break
+        at = m.end()
+        tag = m[2].lower()
         if m[1]:
+            if mute:
+                if tag in mute:
+                    while mute.pop() != tag:
+                        pass
+                    continue
+                if within.get(tag):
+                    within[tag] -= 1
+                    continue
+                if tag not in BLOCKS:
+                    continue
+                mute.clear()  # the end of an element around it
             if tag == "a":
                 in_link = False
             elif tag in BLOCKS:
@@ -167,12 +210,17 @@ def blocks(page: str) -> list[tuple[Box, str, str, float]]:
                 if seek and seek.up:
                     box = seek.up
             continue
-        if tag in SILENT:
-            if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea"):
-                end = CLOSING[tag].search(page, at)
-                at = end.end() if end else size
-            continue
-        if tag == "a":
+        if tag in RAW:
+            end = CLOSING[tag].search(page, at)
+            at = end.end() if end else size
+        elif tag in MUTED:
+            if not m[3].endswith("/"):
+                if not mute:
+                    within.clear()
+                mute.append(tag)
+        elif mute:
+            within[tag] = within.get(tag, 0) + 1
+        elif tag == "a":
             in_link = True
         elif tag == "br":
             text.append(" ")
@@ -191,15 +239,16 @@ def blocks(page: str) -> list[tuple[Box, str, str, float]]:
     return out
 
 
-def log_odds(box: Box, tag: str, words: int, linked: float, sentences: int) -> float:
-    z = box.z - 1.5 + min(3.0, 0.5 * math.log2(1 + words)) + min(1.0, 0.5 * sentences) - 5.0 * linked
-    if tag == "h1":
-        z += 3.0
-    elif tag in ("h2", "h3", "h4") and box.z > 0:
-        z += 1.5
-    elif tag in ("li", "td") and not box.inside:
-        z -= 1.0
-    return max(-12.0, min(12.0, z))
+def log_odds(block: Block, container: float) -> float:
+    sentences = min(SENTENCES, len(END_OF_SENTENCE.findall(block.text)))
+    z = container + TEXT + min(LONGEST, DOUBLING * math.log2(1 + block.words)) + SENTENCE * sentences + LINKED * block.linked
+    if block.tag == "h1":
+        z += TITLE
+    elif block.tag in ("h2", "h3", "h4", "h5", "h6"):
+        z += HEADING
+    elif block.tag in ("li", "td"):
+        z += ITEM
+    return z
 
 
 def distance(a: Box, b: Box) -> int:
@@ -279,33 +328,40 @@ def min_cut(costs: list[tuple[float, float]], edges: list[tuple[int, int, float]
             x = to[e]
 
 
+def graph(found: list[Block]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Log-odds of each block, and the edges (i, j, weight) between blocks."""
+    words: dict[int, int] = {}
+    for b in found:
+        words[id(b.box.part)] = words.get(id(b.box.part), 0) + b.words
+    main = 2 * (sum(words.values()) - words.get(id(None), 0)) >= sum(words.values()) > 0
+    of = {id(b.box): b.box.score + (OUTSIDE if main and b.box.part is None else 0.0) for b in found}
+    scores = [of[id(b.box)] for b in found]
+
+    def edge(i: int, j: int, weight: float) -> tuple[int, int, float]:
+        return i, j, weight * math.exp(-(((scores[i] - scores[j]) / CONTRAST) ** 2))
+
+    edges, last = [], {}
+    for j, b in enumerate(found):
+        if j:
+            edges.append(edge(j - 1, j, NEXT * math.exp(-distance(found[j - 1].box, b.box) / FAR)))
+        if (i := last.get(id(b.box), j - 1)) < j - 1:
+            edges.append(edge(i, j, SAME))
+        last[id(b.box)] = j
+    return [log_odds(b, c) for b, c in zip(found, scores)], edges
+
+
+def cut_costs(z: list[float]) -> list[tuple[float, float]]:
+    return [(math.log1p(math.exp(x)), math.log1p(math.exp(-x))) for x in z]
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    nodes: list[list] = []  # container, tag, words, linked characters, characters, sentences, first block
-    for k, (box, tag, text, linked) in enumerate(found):
-        look = (tag in ("h1", "h2", "h3", "h4", "h5", "h6"), linked > 0.5)
-        if not nodes or nodes[-1][0] is not box or nodes[-1][7] != look:
-            nodes.append([box, tag, 0, 0.0, 0, 0, k, look])
-        own = nodes[-1]
-        own[2] += text.count(" ") + 1
-        own[3] += linked * len(text)
-        own[4] += len(text)
-        own[5] += text[-1] in ".!?…\"”»)"
-    costs = []
-    for box, tag, words, linked, chars, sentences, _, _ in nodes:
-        z = log_odds(box, tag, words, linked / chars, sentences)
-        costs.append((math.log1p(math.exp(z)), math.log1p(math.exp(-z))))
-    edges = []
-    last: dict[int, int] = {}
-    for i, own in enumerate(nodes):
-        if i:
-            edges.append((i - 1, i, 1.5 * math.exp(-distance(nodes[i - 1][0], own[0]) / 2)))
-        if (before := last.get(id(own[0]), i - 1)) < i - 1:
-            edges.append((before, i, 0.75))
-        last[id(own[0])] = i
-    keep = min_cut(costs, edges)
-    ends = [n[6] for n in nodes[1:]] + [len(found)]
-    return "\n".join(found[k][2] for n, end, ok in zip(nodes, ends, keep) if ok for k in range(n[6], end))
+    z, edges = graph(found)
+    if all(x > 0 for x in z) or all(x <= 0 for x in z):
+        keep = [x > 0 for x in z]  # no edge is cut
+    else:
+        keep = min_cut(cut_costs(z), edges)
+    return "\n".join(b.text for b, ok in zip(found, keep) if ok)
 
 
 def extract(pages: DataFrame) -> DataFrame:
