@@ -1,21 +1,23 @@
 """Mixing sources to target weights by weighted fair queueing (operator 2).
 
 DataFrame operations only.  Documents are shuffled by a hash.  Each source is
-served in that order, over again up to ``most`` times; a copy's virtual time is
-the source's cumulative words up to the copy's middle divided by the source's
-target (the middle, so that a source stops as near its target as whole documents
-allow).  All copies in the order of virtual time are cut where the total budget
-is reached.
-
-No window sees a whole source or the whole table: cumulative words are summed
-over SLICES hash slices of each source and then within a slice, and the cut is
-found through two histograms of virtual time and the rows of one cell.  What is
-the size of the number of sources stays a small table.
+served in that order, over again up to ``most`` times; a copy's virtual finish time
+is the source's cumulative words, the copy's own included, divided by the source's
+target.  All copies are range-sorted by virtual time over the whole table and cut
+where the total budget is reached.
+
+No window sees a whole source or the whole table.  Cumulative words are summed
+over hash slices of each source and then within a slice; slices become more as
+documents do.  The range sort deals the copies to partitions in the order of time;
+the partitions' sums tell in which of them the budget ends, and only that one is
+summed row by row.  What is the size of the number of sources or partitions stays a
+small table.
 
 Defined cases: null text counts no words; a null source is a source of its own,
 the last in order; a null doc_id counts as the empty string in the hash; rows
-alike in doc_id and text are taken together; sources without words get target 0.
-An empty table gives no rows.  Other columns are not read.
+alike in doc_id and text are taken together; sources without words get target 0;
+texts of any length count whole.  An empty table gives no rows.  Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, drop, stage
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2
-SLICES = 1024
-CELLS = 4096
+#: Least number of hash slices of a source, a power of two; and documents for each slice beyond.
+SLICES, SLICE_ROWS = 1024, 200_000
+#: Copies for each partition of the range sort, beyond the session's number of shuffle partitions.
+RANGE_ROWS = 1_000_000
 #: Sources up to which their table of cuts is broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 100_000
 
@@ -64,26 +68,21 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int
     return shared.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.lit(0.0)).alias("target"))
 
 
-def _cut(copies: DataFrame, budget: float, level: float, scale: int) -> float | None:
-    """Greatest virtual time up to which the copies' sizes sum to the budget at most."""
-    before = 0.0
-    low = 0.0
-    for _ in range(2):
-        cell = F.least(F.floor((F.col("v") - low) * scale), F.lit(CELLS - 1))
-        held = copies.groupBy(cell.alias("cell")).agg(F.sum("size").alias("s"), F.max("v").alias("v"))
-        run = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        summed = held.withColumn("upto", F.sum("s").over(run) + F.lit(before))
-        # The first cell that passes the budget; the ones before it are taken whole.
-        over = summed.filter(F.col("upto") > budget).orderBy("cell").select("cell", (F.col("upto") - F.col("s")).alias("b")).first()
-        whole = summed.filter(F.col("upto") <= budget).agg(F.max("v")).first()[0]
-        level = max(level, whole) if whole is not None else level
-        if over is None:
-            return level
-        copies, before = copies.filter(cell == over["cell"]), over["b"]
-        low, scale = low + over["cell"] / scale, scale * CELLS
-    run = Window.orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = copies.withColumn("upto", F.sum("size").over(run) + F.lit(before)).filter(F.col("upto") <= budget).agg(F.max("v")).first()[0]
-    return level if last is None else max(level, last)
+def _cut(copies: DataFrame, budget: float) -> float:
+    """Greatest virtual time (v) up to which the copies' sizes sum to the budget at most; -1 if there is none."""
+    spark = copies.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-copies.count() // RANGE_ROWS))
+    dealt = stage(copies.repartitionByRange(parts, "v").select("v", "size", F.spark_partition_id().alias("part")), "mix-sorted")
+    held = dealt.groupBy("part").agg(F.sum("size").alias("s"), F.max("v").alias("v"))
+    summed = stage(held.withColumn("upto", F.sum("s").over(Window.orderBy("part"))), "mix-parts")
+    level = summed.filter(F.col("upto") <= budget).agg(F.max("v")).first()[0]
+    over = summed.filter(F.col("upto") > budget).orderBy("part").select("part", (F.col("upto") - F.col("s")).alias("before")).first()
+    if over:  # the partition in which the budget ends
+        run = Window.orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        last = dealt.filter(F.col("part") == over["part"]).withColumn("upto", F.sum("size").over(run) + F.lit(over["before"]))
+        level = max((x for x in (level, last.filter(F.col("upto") <= budget).agg(F.max("v")).first()[0]) if x is not None), default=None)
+    drop(dealt, summed)
+    return -1.0 if level is None else level
 
 
 class Mix:
@@ -91,23 +90,24 @@ class Mix:
 
     def __init__(self, documents: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST):
         sized = stage(documents.select("doc_id", "source", words(F.col("text")).alias("size"), shuffle_key().alias("key")), "mix-sizes")
-        slice_ = F.shiftright("key", 60 - SLICES.bit_length() + 1)
+        bits = max(SLICES.bit_length() - 1, (sized.count() // SLICE_ROWS).bit_length())
+        slice_ = F.shiftright("key", 60 - bits)
         slices = sized.groupBy("source", slice_.alias("slice")).agg(F.sum("size").alias("s"))
         sizes = slices.groupBy("source").agg(F.sum("s").alias("source_size"))
         self.sources = stage(targets(sizes, weights, budget, most), "mix-targets")
         upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         starts = slices.select(F.col("source").alias("of"), F.col("slice").alias("at"), F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("before"))
         starts = stage(starts.join(self._small(self.sources), F.col("of").eqNullSafe(F.col("source"))).drop("source"), "mix-slices")
-        within = Window.partitionBy("source", "slice")
-        summed = sized.withColumn("slice", slice_).withColumn("upto", F.sum("size").over(within.orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        within = Window.partitionBy("source", "slice").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = sized.withColumn("slice", slice_).withColumn("upto", F.sum("size").over(within))
         placed = summed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
-        alike = F.sum("size").over(Window.partitionBy("source", "slice", "key"))
-        middle = F.col("before") + F.col("upto") - alike / 2
-        self.placed = stage(placed.select("doc_id", "source", "size", "key", "source_size", "target", *[F.try_divide(middle + F.col("source_size") * i, F.col("target")).alias(f"v{i}") for i in range(most)]), "mix-placed")
+        finish = F.col("before") + F.col("upto")
+        self.placed = stage(placed.select("doc_id", "source", "size", "key", "source_size", "target", *[F.try_divide(finish + F.col("source_size") * i, F.col("target")).alias(f"v{i}") for i in range(most)]), "mix-placed")
+        drop(sized, starts)
         self.most = most
         total = self.sources.agg(F.sum("source_size")).first()[0] or 0
         copies = self.placed.select("size", F.explode(F.array(*[f"v{i}" for i in range(most)])).alias("v")).filter("v is not null")
-        self.level = _cut(copies, budget * total, -1.0, CELLS // 8)
+        self.level = _cut(copies, budget * total)
 
     def _small(self, sources: DataFrame) -> DataFrame:
         return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
@@ -153,10 +153,10 @@ targeted AS (
   FROM leveled),
 placed AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
-         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key RANGE UNBOUNDED PRECEDING))::DOUBLE - (sum(d.size) OVER (PARTITION BY d.source, d.key))::DOUBLE / 2 AS middle
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key RANGE UNBOUNDED PRECEDING))::DOUBLE AS finish
   FROM sized d JOIN targeted t ON d.source IS NOT DISTINCT FROM t.source),
 timed AS (
-  SELECT *, CASE WHEN target > 0 THEN middle / target END AS v0, CASE WHEN target > 0 THEN (middle + source_size::DOUBLE) / target END AS v1 FROM placed),
+  SELECT *, CASE WHEN target > 0 THEN finish / target END AS v0, CASE WHEN target > 0 THEN (finish + source_size::DOUBLE) / target END AS v1 FROM placed),
 copies AS (SELECT size, v0 AS v FROM timed WHERE v0 IS NOT NULL UNION ALL SELECT size, v1 FROM timed WHERE v1 IS NOT NULL),
 summed AS (SELECT v, sum(size) OVER (ORDER BY v RANGE UNBOUNDED PRECEDING) AS upto FROM copies),
 cut AS (SELECT max(v) AS level FROM summed WHERE upto <= 1.5::DOUBLE * (SELECT sum(size) FROM sized))
