@@ -6,17 +6,20 @@ When the pool holds GROUP windows' worth of tokens, Karmarkar-Karp multiway
 differencing spreads its pieces: every piece starts as a partition of k windows
 of which one is filled; the two partial partitions with the widest spread are
 merged again and again, the fullest window of one with the emptiest of the
-other, until one near-equal partition is left.  The number of windows rises
-while one of them exceeds the capacity by more than SLACK; a smaller excess is
-cut off and goes back to the pool, as documents may be cut freely.  What is left
-at the end of a partition is cut into windows of powers of two, which need no
-padding.
+other, until one near-equal partition is left.  Of whole pieces near-equal windows
+differ by more than can be left free, so FINE of the tokens are cut into small
+pieces, which the differencing takes last and evens the others out with, and of each
+window a 128th is left for what remains.  If a window exceeds the capacity all the
+same, there is one window more and the pieces are spread again.  At the end of a
+partition what does not fill a window goes into windows of powers of two, which need
+no padding.
 
 No shuffle, and memory is bounded by the batch and the pool.  Window numbers are
 unique and the same on every run over the same input splits.
 
 Defined cases: a null or empty text is its end token alone; a null doc_id stays
-null; repeated rows are packed as often as they come; other columns are not read.
+null; a text of any length is cut over as many windows as it fills; repeated rows are
+packed as often as they come; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ from .common import rows
 from .tokenize import default_tokenizer, encoder
 
 SIZE = 2048
-GROUP = 16
-SLACK = 0.05
+GROUP = 32
+#: Share of a group's tokens in pieces of a 64th of a window.
+FINE = 0.05
 END = 1
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -75,6 +79,7 @@ class Packer:
 
     def __init__(self, first: int, size: int = SIZE, group: int = GROUP):
         self.next, self.size, self.group = first, size, group
+        self.fill, self.unit = size - size // 128, max(1, size // 64)
         self.pool: list[tuple] = []  # doc_id, start, ids, document's tokens
         self.held = 0
         self.out: list[tuple] = []
@@ -105,39 +110,39 @@ class Packer:
 
     def spread(self) -> None:
         """Packs the pool's tokens but for less than a window's."""
-        k, over = self.held // self.size, self.held % self.size
+        k, over = divmod(self.held, self.fill)
         pieces, back = self.pool, []
-        while over:  # the pool's tokens become a whole number of windows
+        while over:  # the pool's tokens become a whole number of windows, none quite full
             last = pieces.pop()
             if len(last[2]) > over:
                 kept, last = self.cut(last, len(last[2]) - over)
                 pieces.append(kept)
             over -= len(last[2])
             back.append(last)
+        small, fine = [], int(FINE * k * self.size) if k > 1 else 0
+        while fine > 0:
+            last = pieces.pop()
+            while last and fine > 0:
+                one, last = self.cut(last, self.unit) if len(last[2]) > self.unit else (last, None)
+                small.append(one)
+                fine -= len(one[2])
+            if last:
+                pieces.append(last)
+        pieces += small
         sizes = [len(p[2]) for p in pieces]
-        while True:
-            windows = difference(sizes, k)
-            if max(sum(sizes[i] for i in w) for w in windows) <= self.size * (1 + SLACK):
-                break
+        windows = difference(sizes, k)
+        while max(sum(sizes[i] for i in w) for w in windows) > self.size:
             k += 1
+            windows = difference(sizes, k)
         self.pool, self.held = [], 0
         for w in windows:
-            own, room = [], self.size
-            for i in w:
-                piece = pieces[i]
-                if len(piece[2]) > room:
-                    piece, rest = self.cut(piece, room)
-                    back.append(rest)
-                if len(piece[2]):
-                    own.append(piece)
-                    room -= len(piece[2])
-            if own:
-                self.window(own)
+            if w:
+                self.window([pieces[i] for i in w])
         for piece in back:
             self.put(piece)
 
     def finish(self) -> None:
-        while self.held >= self.size:
+        while self.held >= self.fill:
             self.spread()
         while self.held:
             room = 1 << (self.held.bit_length() - 1)
