@@ -50,10 +50,35 @@ def test_empty_table(spark):
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(60, 33)) ** 3, rng.normal(size=(70, 33))
-    qa, sa, ea, na = ed.quantise(a)
-    qb, sb, eb, nb = ed.quantise(b)
-    true = (a @ b.T) / na[:, None] / nb[None, :]
-    assert (true <= (qa @ qb.T) * sa[:, None] * sb[None, :] + ea[:, None] + (1 + ea[:, None]) * eb[None, :] + 1e-9).all()
+    (qa, sa, ea), (qb, sb, eb) = ed.quantise(a), ed.quantise(b)
+    true = (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)[None, :]
+    margin = ea[:, None] + (1 + ea[:, None]) * eb[None, :] + 1e-9
+    assert qa.dtype == np.int8 and (np.abs(true - ed.code_products(qa, qb) * sa[:, None] * sb[None, :]) <= margin).all()
     wide = rng.normal(size=(5, 3000))
     q = ed.quantise(wide)[0]
     assert np.array_equal(ed.code_products(q, q), (q.astype(np.int64) @ q.astype(np.int64).T).astype(float))
+    i, j, sure = ed.bounded(ed.quantise(a), ed.quantise(a), True, 0.3)
+    true = (a @ a.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(a, axis=1)[None, :]
+    want = {(x, y) for x, y in zip(*np.nonzero(true >= 0.3)) if x < y}
+    assert want <= set(zip(i, j)) and set(zip(i[sure], j[sure])) <= want and 0 < (~sure).sum() < len(want)
+
+
+def test_doubles_of_any_magnitude(spark):
+    v = [[1e-200, 1e-200], [1e-200, 2e-200], [1e200, 1e200], [2e200, 2.1e200], [-1e300, 1e-300], [-5e-324, 0.0]]
+    got = ed.near_duplicates(spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (1, 4), 5: (1, 4)}
+
+
+def test_long_vectors_near_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=2500)
+    rows = []
+    for k, c in enumerate(np.linspace(0.897, 0.903, 40)):
+        y = rng.normal(size=2500)
+        y -= x * (x @ y) / (x @ x)
+        rows.append((k + 1, (c * x / np.linalg.norm(x) + np.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist()))
+    rows.append((0, x.tolist()))
+    got = {r.vec_id: r.n_links for r in ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 16).collect()}
+    m = np.array([r[1] for r in rows])
+    cos = (m @ m.T) / np.linalg.norm(m, axis=1)[:, None] / np.linalg.norm(m, axis=1)[None, :]
+    assert got == {r[0]: int((c >= 0.9).sum() - 1) for r, c in zip(rows, cos)}
