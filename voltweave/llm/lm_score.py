@@ -6,9 +6,10 @@ with the maximum-likelihood bigram and unigram of all training documents, a
 uniform share for what was never seen, and mixture weights by bucket b of the
 context's frequency (its binary logarithm).  Expectation-maximisation learns the
 weights on held-out counts: the tokens of one fold of the training documents,
-each with its own occurrence deleted from the counts.
+each with its own occurrence deleted from the counts.  Tokens alike in their three
+counts are one row of a table; a round of EM is one aggregate over it, by bucket.
 
-Counts cover the corpus.  A word is a 62-bit hash, a bigram a 46-bit one.  Texts
+Counts cover the corpus.  A word is a 62-bit hash, a bigram a 56-bit one.  Texts
 become chunks of about a million tokens, stored once.  A chunk asks for the
 counts of its different words and bigrams: its sorted keys go, as compressed
 differences, to the parts of the key range that hold them (about 4 bytes a key
@@ -19,7 +20,8 @@ their number grows with the input.
 
 Defined cases: null text is empty, which is the end token alone; a null doc_id
 counts as the empty string for the folds; repeated rows count as often as they
-come; without training tokens N and V are 0.  An empty table gives no rows.
+come; a text of any length is scored whole; without training tokens N and V are 0, and
+without any of the tuning fold the weights stay equal.  An empty table gives no rows.
 Other columns are not read.
 """
 
@@ -32,14 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, stage
+from .common import drop, rows, stage
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 CHUNK_BYTES = 6_000_000
 #: Tokens of the corpus for each part of the key range.
 PART_TOKENS = 1_500_000
-WORD_BITS, PAIR_BITS = 62, 46
-ROUNDS = 40
+WORD_BITS, PAIR_BITS = 62, 56
+#: Rounds of EM at most; it ends when no weight moves by more than SETTLED.
+ROUNDS, SETTLED = 30, 1e-4
+#: Buckets of the context's frequency: 0 and the binary logarithms of 64-bit counts.
+BUCKETS = 65
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -237,25 +242,23 @@ class Counted:
         self.cc[np.cumsum(c.counts) - c.counts] = train_docs
 
 
-#: Bins of an octave in the histogram of held-out counts.
-FINE = 8
-NONE = -10_000
+def learn(counts: DataFrame, n: int, unseen: float) -> np.ndarray:
+    """Weights (bucket, [l2, l1, l0]) by EM from rows (b, cc, c2, c1, times) of held-out counts.
 
-
-def _octaves(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, np.rint(FINE * np.log2(np.maximum(x, 1e-300))), NONE).astype(np.int64)
-
-
-def learn(bins: np.ndarray, unseen: float, size: int = 65) -> np.ndarray:
-    """Weights (bucket, [l2, l1, l0]) by EM from rows (bucket, octave of bigram, octave of unigram, n)."""
-    weights = np.full((size, 3), 1 / 3)
-    b, n = bins[:, 0], bins[:, 3].astype(float)
-    like = np.stack([np.where(bins[:, k] == NONE, 0, 2.0 ** (np.maximum(bins[:, k], -8000) / FINE)) for k in (1, 2)] + [np.full(len(bins), unseen)], axis=1)
+    Only three sums a bucket come to the driver in each round.
+    """
+    weights = np.full((BUCKETS, 3), 1 / 3)
+    like = [F.try_divide(F.col("c2"), F.col("cc").cast("double")), F.col("c1") / F.lit(float(max(n - 1, 1))), F.lit(unseen)]
+    table = counts.select("b", "times", *[F.coalesce(x, F.lit(0.0)).alias(f"p{k}") for k, x in enumerate(like)])
     for _ in range(ROUNDS):
-        part = weights[b] * like
-        part *= (n / part.sum(axis=1))[:, None]
-        sums = np.stack([np.bincount(b, part[:, k], size) for k in range(3)], axis=1) + 1e-3
-        weights = sums / sums.sum(axis=1, keepdims=True)
+        own = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, k]]), F.col("b") + 1) * F.col(f"p{k}") for k in range(3)]
+        shares = table.select("b", "times", *[x.alias(f"s{k}") for k, x in enumerate(own)]).withColumn("share", F.col("times") / (F.col("s0") + F.col("s1") + F.col("s2")))
+        sums = np.full((BUCKETS, 3), 1e-3)
+        for row in shares.groupBy("b").agg(*[F.sum(F.col(f"s{k}") * F.col("share")) for k in range(3)]).collect():
+            sums[row[0]] += row[1:]
+        before, weights = weights, sums / sums.sum(axis=1, keepdims=True)
+        if np.abs(weights - before).max() <= SETTLED:
+            break
     weights[0] = (0.0, *(weights[0, 1:] / weights[0, 1:].sum()))  # no context, no bigram
     return weights
 
@@ -277,14 +280,14 @@ def score(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 c = Counted(row, train_docs)
-                cc, c2, c1 = c.cc - 1, c.c2 - 1, c.c1 - 1  # this occurrence is deleted
-                found = np.stack([bucket(cc), _octaves(c2 / np.maximum(cc, 1)), _octaves(c1 / max(n - 1, 1))], axis=1)
-                bins, times = np.unique(found, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*bins.T.astype(np.int64), times.astype(np.int64))], ["b", "f2", "f1", "n"])
-
-    tuning = stored.filter("tuning").join(got, "chunk").mapInArrow(held_out_counts, "b long, f2 long, f1 long, n long")
-    bins = tuning.groupBy("b", "f2", "f1").agg(F.sum("n").alias("n")).toPandas().to_numpy(dtype=np.int64)
-    weights = learn(bins, unseen)
+                found = np.stack([c.cc - 1, c.c2 - 1, c.c1 - 1], axis=1)  # this occurrence is deleted
+                found, times = np.unique(found, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (bucket(found[:, 0]), *found.T, times)], ["b", "cc", "c2", "c1", "times"])
+
+    tuning = stored.filter("tuning").join(got, "chunk").mapInArrow(held_out_counts, "b long, cc long, c2 long, c1 long, times long")
+    alike = stage(tuning.groupBy(F.col("b").cast("int").alias("b"), "cc", "c2", "c1").agg(F.sum("times").alias("times")), "lm-tuning")
+    weights = learn(alike, n, unseen)
+    drop(alike)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
