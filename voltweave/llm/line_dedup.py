@@ -110,6 +110,12 @@ def _class(words: Column) -> list[Column]:
     return [F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2")]
 
 
+def _few(rows: DataFrame, derived: DataFrame | None = None) -> DataFrame:
+    """``rows`` (or what is derived of them and no larger), to be broadcast if they are few."""
+    out = rows if derived is None else derived
+    return F.broadcast(out) if rows.count() <= BROADCAST_IDS else out
+
+
 def _overlap_needed(n: Column, m: Column) -> Column:
     """Least overlap for a similarity of 0.8: ceil(4 (n + m) / 9)."""
     return F.ceil((n + m) * 4 / 9 - 1e-9)
@@ -137,12 +143,16 @@ class LineDedup:
         sized = split.withColumn("words", F.when(F.get("words", F.lit(0)) != "", F.col("words")))  # an empty line has no words
         long = sized.withColumn("long", F.coalesce(F.size("words") >= WIDTH, F.lit(False)))
         prefixed = _prefix(long.withColumn("all", F.col("words")).withColumn("words", F.when(F.col("long"), F.col("words"))))
-        self.lines = stage(prefixed.select(*PLACE, *_class(F.col("all")), "prefix", "long", F.col("all").isNotNull().alias("used")), "lines")
-        members = self.lines.filter("used").groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row", "prefix")).alias("f"), F.count(F.lit(1)).alias("members"))
-        firsts = stage(members.select("k1", "k2", "members", "f.*"), "line-firsts")
-        removed = stage(self._matches(firsts), "line-removed").withColumn("gone", F.lit(True))
-        hint = F.broadcast if removed.count() <= BROADCAST_IDS else (lambda df: df)
-        several = firsts.drop("prefix").join(hint(removed), PLACE, "left").filter("members > 1 or gone")
+        built = stage(prefixed.select(*PLACE, *_class(F.col("all")), "prefix", F.col("all").isNotNull().alias("used")), "lines-built")
+        members = built.filter("used").groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row", "prefix")).alias("f"), F.count(F.lit(1)).alias("members"))
+        classes = stage(members.select("k1", "k2", "members", "f.*"), "line-classes")
+        self.lines = stage(built.drop("prefix"), "lines")
+        drop(built)
+        later = self._later(classes)
+        firsts = stage(classes.drop("prefix"), "line-firsts")
+        drop(classes)
+        removed = stage(self._matches(later), "line-removed")
+        several = firsts.join(_few(removed).withColumn("gone", F.lit(True)), PLACE, "left").filter("members > 1 or gone")
         #: Classes of more than one line and those that go, with their first line.
         self.classes = stage(several.select("k1", "k2", *[F.col(c).alias(f"f_{c}") for c in PLACE], F.coalesce("gone", F.lit(False)).alias("gone")), "line-classes")
         drop(firsts, removed)
@@ -156,17 +166,20 @@ class LineDedup:
         keyed = keyed.join(ids, F.col(doc) == F.col("__vw_repeated"), "left")
         return keyed.withColumn(row, F.when(F.col("__vw_repeated").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("__vw_repeated")
 
-    def _matches(self, firsts: DataFrame) -> DataFrame:
-        """(doc, row, line) of the first lines of classes that match an earlier class."""
-        spread = firsts.select(F.explode("prefix").alias("token"), *PLACE)
+    def _later(self, classes: DataFrame) -> DataFrame:
+        """token, place, rank, l_place: the classes' first lines that hold a token of their prefix after another; l_place is the first of all."""
+        spread = classes.select(F.explode("prefix").alias("token"), *PLACE)
         order = Window.partitionBy("token").orderBy("doc", "line", "row")
         ranked = spread.select("*", F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in PLACE])
-        later = stage(ranked.filter("rank > 1"), "line-later")
+        return stage(ranked.filter("rank > 1"), "line-later")
+
+    def _matches(self, later: DataFrame) -> DataFrame:
+        """(doc, row, line) of the first lines of classes that match an earlier class."""
         first = [F.col(f"l_{c}").alias(c) for c in PLACE]
         sets = self._sets(later.select(*PLACE).unionByName(later.select(*first)).distinct())
         both = [*PLACE, *[f"l_{c}" for c in PLACE]]
         # The first class with the token, once for each pair of classes whatever number of tokens they share.
-        own = sets.select(*PLACE, F.size("tokens").alias("n"), F.size("tokens").alias("held"), "parity")
+        own = sets.select(*PLACE, "n", F.col("n").alias("held"), "parity")
         pairs = later.filter("doc <> l_doc or line <> l_line").select(*both).distinct()
         done = self._verified(stage(self._near(pairs, own).select(*both), "line-near"), sets)
         settled = [done]
@@ -175,12 +188,13 @@ class LineDedup:
         shared = later.join(many, "token", "left_semi")
         shared = stage(shared.select("token", *PLACE, "rank").unionByName(shared.select("token", *first, F.lit(1).alias("rank")).distinct()), "line-many")
         drop(later)
-        own = stage(self._held(sets.join(shared.select(*PLACE).distinct(), PLACE, "left_semi")), "line-own")
+        some = stage(shared.select(*PLACE).distinct(), "line-some")
+        own = stage(self._held(sets.join(_few(some), PLACE, "left_semi")), "line-own")
         # Tokens of their own come first in the order by rarity, so they fill places of a line's prefix.
         places = F.col("held") - F.ceil(F.col("n") * 4 / 5 - 1e-9) + 1
         ranked = shared.join(own, PLACE).withColumn("place", F.row_number().over(Window.partitionBy(*PLACE).orderBy("token")))
         few = stage(ranked.filter(F.col("place") <= places).drop("place"), "line-shared")
-        drop(shared, own)
+        drop(shared, own, some)
         # In growing stretches: most of a group of near copies is settled by the first of them.
         open_, low, high = stage(few.filter("rank > 2").join(done, PLACE, "left_anti"), "line-open"), 2, 2
         while top := open_.agg(F.max("rank")).first()[0]:
@@ -210,9 +224,8 @@ class LineDedup:
         """
         owner = sets.select("sid", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("sid").alias("sid"), F.max("sid").alias("top"))
         alone = owner.filter("sid = top").groupBy("sid").agg(F.count(F.lit(1)).alias("alone"))
-        n = F.size("tokens")
-        held = n - F.coalesce("alone", F.lit(0))
-        return sets.join(alone, "sid", "left").filter(held * 5 >= n * 4).select(*PLACE, n.alias("n"), held.cast("int").alias("held"), "parity")
+        held = F.col("n") - F.coalesce("alone", F.lit(0))
+        return sets.drop("tokens").join(alone, "sid", "left").filter(held * 5 >= F.col("n") * 4).select(*PLACE, "n", held.cast("int").alias("held"), "parity")
 
     def _sets(self, places: DataFrame) -> DataFrame:
         """Whole token sets and their parities of the given lines, built from their texts."""
@@ -227,17 +240,15 @@ class LineDedup:
         lines = split.select("doc", "row", F.explode(wanted_lines).alias("l")).select("doc", "row", "l.*").filter("words is not null")
         parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
         whole = _tokens(_words(lines).filter(F.size("words") >= WIDTH))
-        out = stage(whole.select(F.monotonically_increasing_id().alias("sid"), *PLACE, "tokens", parity.alias("parity")), "line-sets")
+        out = stage(whole.select(F.monotonically_increasing_id().alias("sid"), *PLACE, F.size("tokens").alias("n"), "tokens", parity.alias("parity")), "line-sets")
         drop(wanted)
         return out
 
     def _verified(self, near: DataFrame, sets: DataFrame) -> DataFrame:
         """(doc, row, line) of the staged pairs ``near`` whose sets have a similarity of 0.8 or more."""
-        small = near.count() <= BROADCAST_IDS
-        hint = F.broadcast if small else (lambda df: df)
         earlier = [f"l_{c}" for c in PLACE]
-        left = sets.join(hint(near), PLACE).select(*PLACE, *earlier, "tokens")
-        right = sets.join(hint(near.select(*[F.col(f"l_{c}").alias(c) for c in PLACE]).distinct()), PLACE, "left_semi")
+        left = sets.join(_few(near), PLACE).select(*PLACE, *earlier, "tokens")
+        right = sets.join(_few(near, near.select(*[F.col(f"l_{c}").alias(c) for c in PLACE]).distinct()), PLACE, "left_semi")
         both = left.join(right.select(*[F.col(c).alias(f"l_{c}") for c in PLACE], F.col("tokens").alias("l_tokens")), earlier)
         overlap = F.size(F.array_intersect("tokens", "l_tokens"))
         out = stage(both.filter(overlap >= _overlap_needed(F.size("tokens"), F.size("l_tokens"))).select(*PLACE).distinct(), "line-settled")
@@ -246,8 +257,7 @@ class LineDedup:
 
     def gone(self) -> DataFrame:
         """doc, row and line of every line that goes."""
-        classes = F.broadcast(self.classes) if self.classes.count() <= BROADCAST_IDS else self.classes
-        used = self.lines.filter("used").select(*PLACE, "k1", "k2").join(classes, ["k1", "k2"])
+        used = self.lines.filter("used").select(*PLACE, "k1", "k2").join(_few(self.classes), ["k1", "k2"])
         return used.filter((F.col("gone")) | (F.col("doc") != F.col("f_doc")) | (F.col("line") != F.col("f_line"))).select(*PLACE)
 
     def report(self) -> DataFrame:
