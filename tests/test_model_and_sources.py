@@ -1,5 +1,6 @@
 import json
 import math
+import os
 import sqlite3
 import struct
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltweave.functions import money
-from voltweave.operators import model, simulation
+from voltweave.operators import model, simulation, timeline
 from voltweave.sources import readers, schemas
 
 
@@ -114,3 +115,127 @@ def test_graphml(spark, tmp_path):
     nodes, edges = readers.read_graphml(spark, str(tmp_path / "g.graphml"))
     assert {r.node: r.data for r in nodes.collect()} == {"(-41.1, 174.2)": {"d0": "5"}, "b": {}}
     assert [(r.source, r.target, r.data) for r in edges.collect()] == [("(-41.1, 174.2)", "b", {"d1": "1.5"})]
+
+
+def test_ridge_learns_from_training_rows_alone(spark):
+    """The query against plain numpy: numbers of texts, means, deviations and alpha come from the training rows."""
+    import hashlib
+
+    import xxhash
+
+    from voltweave.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    rows = spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", "p_size", "p_retailprice", "p_brand", "p_type").collect()
+    rows = [r for r in rows if r.p_partkey % 11]
+    test = np.array([int(hashlib.md5(str(r.p_partkey).encode()).hexdigest()[:8], 16) % 5 == 0 for r in rows])
+    train = [r for r, t in zip(rows, test) if not t]
+    numbers = [{v: i for i, v in enumerate(sorted({r[c] for r in train}))} for c in ("p_brand", "p_type")]
+    x = np.array([[r.p_size, r.p_retailprice if r.p_partkey % 7 else np.nan, numbers[0].get(r.p_brand, np.nan), numbers[1].get(r.p_type, np.nan)] for r in rows], float)
+    y = np.array([r.p_size * 2 + r.p_partkey % 13 for r in rows], float)
+    x = np.where(np.isnan(x), np.nanmean(x[~test], axis=0), x)
+    x = (x - x[~test].mean(axis=0)) / x[~test].std(axis=0)
+    fold = np.array([(lambda h: (h - (1 << 64) if h >> 63 else h) % 10)(xxhash.xxh64_intdigest(str(r.p_partkey).encode(), 42)) for r in rows])
+
+    def solve(a, b, alpha):
+        m, n = a.mean(axis=0), b.mean()
+        w = np.linalg.solve((a - m).T @ (a - m) + alpha * np.eye(4), (a - m).T @ (b - n))
+        return w, n - m @ w
+
+    def r2(b, p):
+        return 1 - ((b - p) ** 2).sum() / ((b - b.mean()) ** 2).sum()
+
+    scores = []
+    for alpha in model.ALPHAS:
+        each = []
+        for k in set(fold[~test]):
+            inner, out = ~test & (fold != k), ~test & (fold == k)
+            if out.sum() > 1:
+                w, b = solve(x[inner], y[inner], alpha)
+                each.append(r2(y[out], x[out] @ w + b))
+        scores.append(np.mean(each))
+    alpha = model.ALPHAS[int(np.argmax(scores))]
+    w, b = solve(x[~test], y[~test], alpha)
+    got = registry.QUERIES["ridge_metrics"](spark, folder).first()
+    assert got.n == test.sum() and got.alpha == pytest.approx(alpha)
+    assert got.r2 == pytest.approx(r2(y[test], x[test] @ w + b), abs=1e-9) and got.r == pytest.approx(np.corrcoef(y[test], x[test] @ w + b)[0, 1], abs=1e-9)
+
+
+@pytest.mark.parametrize("ratio", [1.0, 0.5])
+def test_lasso_and_elastic_net_by_folds(spark, ratio):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    y = x @ [3.0, 0.0, -1.0, 0.0] + rng.normal(size=300)
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, y double")
+    fit = model.elastic_net_cv(df, ["a", "b", "c", "d"], "y", "id", ratio)
+    assert fit.alpha in model.ALPHAS and fit.cv_r2 > 0.85
+    centred, rest = x - x.mean(axis=0), y - x @ fit.weights - fit.intercept
+    slope = centred.T @ rest / 300 - fit.alpha * (1 - ratio) * fit.weights  # at the optimum: alpha * ratio * sign, or less where the weight is zero
+    for w, s in zip(fit.weights, slope):
+        assert s == pytest.approx(fit.alpha * ratio * np.sign(w), abs=1e-8) if w else abs(s) <= fit.alpha * ratio + 1e-8
+    one = model.elastic_net(df, ["a", "b", "c", "d"], "y", fit.alpha, ratio)
+    assert one.weights == pytest.approx(fit.weights, abs=1e-9)
+
+
+def test_dead_time_by_stretches(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(c), float(h)) for c in range(4) for h in np.sort(rng.uniform(0, 300, 40 + 200 * c))]
+    want = []
+    for c in range(4):
+        last = -np.inf
+        for k, h in rows:
+            if k == c and h >= last + 3:
+                want.append((c, h))
+                last = h
+    got = timeline.dead_time_filter(spark.createDataFrame(rows, "charger_id long, hour double"), 3.0).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from voltweave.plans import staging
+
+    def session(master):
+        conf = SimpleNamespace(get=lambda *a: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(applicationId=f"app-{master}", master=master, getConf=lambda: conf))
+
+    assert staging.shared_dir(session("local[4]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://host"):
+        with pytest.raises(ValueError):
+            staging.shared_dir(session(master))
+
+
+def test_composed_sources(spark, tmp_path):
+    from voltweave.functions import geo
+
+    path = str(tmp_path / "all.gpkg")
+    head = b"GP\0\1\0\0\0\0"
+    square = [(1600000 + x, 5400000 + y) for x, y in ((-500, -500), (500, -500), (500, 500), (-500, 500), (-500, -500))]
+    polygon = struct.pack("<BII", 1, 3, 1) + struct.pack("<I", 5) + b"".join(struct.pack("<dd", *v) for v in square)
+    with sqlite3.connect(path) as db:
+        for table in ("hubs", "roads", "areas"):
+            db.execute(f"CREATE TABLE {table} (fid INTEGER PRIMARY KEY, geom BLOB, name TEXT, speed REAL, volume REAL, year INTEGER)")
+            shapes = [wkb(2, (1600000, 5400000), (1600100, 5400100)) if table == "roads" else polygon, None]
+            db.executemany(f"INSERT INTO {table} (geom, name, speed, volume, year) VALUES (?, ?, ?, ?, ?)", [(g and head + g, f"n{i}", 50.0, 9.0, 2023) for i, g in enumerate(shapes)])
+    lat, lon = spark.range(1).select(*geo.unproject(F.lit(1600000.0), F.lit(5400000.0), 2193)).first()
+    hub = readers.read_hubs(spark, path, "hubs", "fid", "name").collect()
+    assert [(h.hub_id, h.name, h.island) for h in hub] == [(1, "n0", "South")] and (hub[0].lat, hub[0].lon) == pytest.approx((lat, lon), abs=1e-6)
+    road = readers.read_highways(spark, path, "roads", "fid", "speed", "volume").collect()
+    assert len(road) == 1 and road[0].island == "South" and tuple(road[0].parts[0][0]) == pytest.approx((lon, lat), abs=1e-9) and road[0].free_flow_speed == 50
+    area = readers.read_areas(spark, path, "areas", "fid", "name", "year", "speed").collect()
+    assert len(area) == 1 and (area[0].year, area[0].population_estimate) == (2023, 50.0) and area[0].lat == pytest.approx(lat, abs=1e-6)
+
+
+def test_layers_and_datasets(spark, tmp_path):
+    lines = spark.sql("SELECT 1L AS origin, array(array(174D, -41D), array(175D, -40D)) AS line, array(array(struct(1D AS lon, 2D AS lat), struct(3D AS lon, 2D AS lat), struct(3D AS lon, 4D AS lat))) AS parts")
+    line, polygon = (json.loads(f(lines, "origin").first().feature) for f in (readers.geojson_lines, readers.geojson_polygons))
+    assert line["geometry"] == {"type": "LineString", "coordinates": [[174, -41], [175, -40]]} and line["properties"] == {"origin": 1}
+    assert polygon["geometry"] == {"type": "Polygon", "coordinates": [[[1, 2], [3, 2], [3, 4], [1, 2]]]}
+    for name in ("02_towns.csv", "01_towns.csv", "03_other.csv"):
+        (tmp_path / name).write_text("a\n1\n")
+    sets = readers.Datasets(spark, str(tmp_path))
+    assert sets.find("_towns.csv") == f"{tmp_path}/01_towns.csv" and sets.find("none") is None
+    assert sets.csv("03_other", "a int").first().a == 1

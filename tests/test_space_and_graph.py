@@ -98,7 +98,7 @@ def find(root, i):
     return i
 
 
-def test_components_and_patches(spark):
+def test_components_and_patches(spark, monkeypatch):
     at = points(26, 6)
     rng = random.Random(2)
     pairs = {tuple(sorted(rng.sample(range(26), 2))) for _ in range(15)}
@@ -116,6 +116,8 @@ def test_components_and_patches(spark):
             want.add((a, b))
     patched = graph.patch_components(nodes, edges)
     assert {(r.src, r.dst) for r in patched.collect()} == want
+    monkeypatch.setattr(graph, "LOCAL_LINKS", 0)
+    assert {(r.src, r.dst) for r in graph.patch_components(nodes, edges).collect()} == want
     whole = edges.unionByName(patched)
     assert graph.connected_components(nodes, whole).select("component").distinct().count() == 1
     assert graph.patch_components(nodes, whole).count() == 0
@@ -157,6 +159,61 @@ def test_shortest_paths_and_routes(spark):
     assert lines.line == [[at[3][1], at[3][0]], [at[5][1], at[5][0]]]
 
 
+@pytest.fixture(params=["worker", "rounds"])
+def way(request, monkeypatch):
+    if request.param == "rounds":
+        monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+        monkeypatch.setattr(graph, "LOCAL_NODES", 0)
+        monkeypatch.setattr(graph, "MERGE_ROUNDS", 2)
+    return request.param
+
+
+def test_paths_with_missing_and_zero_weights(spark, way):
+    rows = [(1, 2, 1.0), (2, 3, 1.0), (1, 3, None), (3, 4, 0.0), (4, 5, 0.0), (3, 5, 0.0), (1, 9, 1.0), (5, 6, float("nan")), (20, 21, 1.0)]
+    edges = spark.createDataFrame(rows, "src long, dst long, time double")
+    origins = spark.createDataFrame([(9,), (1,), (None,), (77,), (9,)], "origin long")
+    paths = graph.shortest_paths(edges, origins)
+    got = {(r.origin, r.node_id): (r.cost, r.pred) for r in paths.collect()}
+    # The missing weight of 1-3 is 1, as is that of 5-6; of the zero-weight ways the one of fewest steps counts.
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {1: (0.0, None), 2: (1.0, 1), 3: (1.0, 1), 4: (1.0, 3), 5: (1.0, 3), 6: (2.0, 5), 9: (1.0, 1)}
+    assert got[9, 1] == (1.0, 9) and got[9, 6] == (3.0, 5) and got[77, 77] == (0.0, None) and len(got) == 15
+    towns = spark.createDataFrame([(100, 9), (101, 6), (102, 4), (103, 77)], "town_id long, node_id long")
+    routes = {(r.origin, r.dest): r.path for r in graph.town_routes(graph.shortest_paths(edges, towns.select(F.col("node_id").alias("origin"))), towns).collect()}
+    assert routes[100, 101] == [9, 1, 3, 5, 6] and routes[100, 102] == [9, 1, 3, 4] and routes[103, 103] == [77] and len(routes) == 10
+    with pytest.raises(Exception):
+        graph.shortest_paths(spark.createDataFrame([(1, 2, -1.0)], "src long, dst long, time double"), origins).collect()
+    ring = spark.createDataFrame([(1, 1, 0.0, None), (1, 2, 1.0, 3), (1, 3, 1.0, 2)], "origin long, node_id long, cost double, pred long")
+    with pytest.raises(Exception):
+        graph.town_routes(ring, spark.createDataFrame([(7, 1), (8, 2)], "town_id long, node_id long")).collect()
+
+
+def test_both_ways_to_paths_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(min(a, b), max(a, b), rng.choice([0.0, 1.0, 1.0, 2.0])) for a, b in {tuple(sorted(rng.sample(range(25), 2))) for _ in range(60)}]
+    edges = spark.createDataFrame(rows, "src long, dst long, time double")
+    origins = spark.createDataFrame([(0,), (3,)], "origin long")
+    one = sorted(map(tuple, graph.shortest_paths(edges, origins).collect()), key=str)
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    assert sorted(map(tuple, graph.shortest_paths(edges, origins).collect()), key=str) == one
+
+
+def test_towns_take_nodes_with_edges_only(spark):
+    nodes = frame(spark, {1: (-41.0, 174.0), 2: (-41.5, 174.0), 3: (-41.6, 174.0)})
+    edges = spark.createDataFrame([(2, 3, 11.0, 0.2)], "src long, dst long, length double, time double")
+    towns = spark.createDataFrame([(5, -41.0, 174.0)], "town_id long, lat double, lon double")
+    attached = graph.attach_towns(towns, nodes, edges)
+    assert attached.first().node_id == 2
+    every, whole = graph.with_towns(nodes, edges, towns, attached)
+    assert {(r.node_id, r.is_town) for r in every.collect()} == {(1, False), (2, False), (3, False), (-6, True)}
+    assert (-6, 2, None, 1.0) in [tuple(r) for r in whole.collect()]
+
+
+def test_facilities_of_one_name_are_one(spark):
+    rows = [(1, "a", -41.0, 174.0), (2, "b", -41.0, 175.0), (3, "a", -43.0, 172.0), (4, None, -40.0, 174.0), (5, None, -39.0, 174.0)]
+    got = spatial.named_once(spark.createDataFrame(rows, "facility_id long, facility_name string, lat double, lon double")).collect()
+    assert sorted((r.facility_id, r.lat) for r in got) == [(1, -43.0), (2, -41.0), (4, -40.0), (5, -39.0)]
+
+
 def test_segments_and_stitching(spark):
     v = [(1, 1, -41.0, 174.0, 50.0, 1.0), (1, 2, -41.0, 174.1, 50.0, 1.0), (1, 3, -41.000001, 174.100001, 50.0, 1.0), (2, 1, -41.0, 174.1, 100.0, 2.0), (2, 2, -41.0, 174.0, 100.0, 2.0)]
     vertices = spark.createDataFrame(v, "road_id long, seq long, lat double, lon double, free_flow_speed double, traffic_volume double")

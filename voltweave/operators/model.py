@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
+
 ALPHAS = np.logspace(-6, 6, 200)
 FOLDS = 10
 
@@ -17,11 +19,57 @@ def all_null_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if not counts[c]]
 
 
-def encode(df: DataFrame, column: str) -> DataFrame:
-    """Texts (or booleans) replaced by their number in alphabetical order; null stays null."""
-    values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("__value")).distinct()
-    codes = values.withColumn("__code", (F.row_number().over(Window.orderBy("__value")) - 1).cast("double"))
-    return df.join(codes, F.col(column) == F.col("__value"), "left").drop(column, "__value").withColumnRenamed("__code", column)
+#: Different texts of a column up to which their numbers are broadcast.
+BROADCAST_VALUES = 1_000_000
+
+
+def codes(df: DataFrame, column: str) -> DataFrame:
+    """Different texts (or booleans) of a column with their number in alphabetical order: one row for each."""
+    values = stage(df.filter(F.col(column).isNotNull()).select(F.col(column).alias("__value")).distinct(), "values")
+    return stage(values.withColumn("__code", (F.row_number().over(Window.orderBy("__value")) - 1).cast("double")), "codes")
+
+
+def encode(df: DataFrame, column: str, numbers: DataFrame | None = None) -> DataFrame:
+    """Texts (or booleans) replaced by their number; null, and what has no number, becomes null."""
+    numbers = codes(df, column) if numbers is None else numbers
+    hint = F.broadcast if numbers.count() <= BROADCAST_VALUES else (lambda x: x)
+    return df.join(hint(numbers), F.col(column) == F.col("__value"), "left").drop(column, "__value").withColumnRenamed("__code", column)
+
+
+@dataclass
+class Features:
+    """What is learned of training rows: the columns that have values, numbers of texts, means and deviations."""
+
+    columns: list[str]
+    target: str
+    key: str
+    numbers: dict[str, DataFrame]
+    means: dict[str, float]
+    spread: dict[str, float]
+
+    @classmethod
+    def fit(cls, train: DataFrame, columns: list[str], target: str, key: str) -> "Features":
+        data = train.select(key, *columns, target).filter(F.col(target).isNotNull())
+        columns = [c for c in columns if c not in all_null_columns(data, columns)]
+        numbers = {c: codes(data, c) for c in columns if dict(data.dtypes)[c] in ("string", "boolean")}
+        out = cls(columns, target, key, numbers, {}, {})
+        filled = out._numeric(data)
+        if columns:
+            out.means = filled.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
+            filled = filled.fillna({c: m for c, m in out.means.items() if m is not None})
+            out.spread = filled.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first().asDict()
+        return out
+
+    def _numeric(self, df: DataFrame) -> DataFrame:
+        data = df.select(self.key, *self.columns, self.target).filter(F.col(self.target).isNotNull())
+        for c, numbers in self.numbers.items():
+            data = encode(data, c, numbers)
+        return data.select(self.key, *[F.col(c).cast("double") for c in self.columns], F.col(self.target).cast("double"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """key, standardised features (nulls and unknown texts get the training mean) and target of rows that have a target."""
+        data = self._numeric(df).fillna({c: m for c, m in self.means.items() if m is not None})
+        return data.withColumns({c: (F.col(c) - F.lit(self.means[c])) / F.lit(self.spread[c] or 1.0) for c in self.columns}) if self.columns else data
 
 
 def feature_matrix(df: DataFrame, columns: list[str], target: str, key: str, impute: bool = True) -> DataFrame:
@@ -46,7 +94,7 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def held_out(key: Column, share: int = 5) -> Column:
     """One in ``share`` rows, by a hash of the key."""
-    return F.crc32(key.cast("string")) % share == 0
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % share == 0
 
 
 @dataclass
@@ -114,20 +162,46 @@ def ridge_cv(df: DataFrame, columns: list[str], target: str, key: str, alphas=AL
     return Ridge(columns, w, b, float(alphas[best]), float(scores[best]))
 
 
-def elastic_net(df: DataFrame, columns: list[str], target: str, alpha: float, l1_ratio: float = 1.0) -> Ridge:
-    """Lasso (l1_ratio 1) or elastic net by coordinate descent on the sufficient statistics: |y - Xw|^2 / 2n + alpha (l1 |w|_1 + (1 - l1) |w|^2 / 2)."""
-    g = grams(df, columns, target, F.lit(0))[0]
+def _descend(g: Gram, alpha: float, l1_ratio: float, w: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept of |y - Xw|^2 / 2n + alpha (l1 |w|_1 + (1 - l1) |w|^2 / 2) by coordinate descent, from ``w`` on."""
     mx, my = g.x / g.n, g.y / g.n
     a, b = g.xx / g.n - np.outer(mx, mx), g.xy / g.n - mx * my
-    w = np.zeros(len(columns))
+    w = np.zeros(len(b)) if w is None else w.copy()
     for _ in range(10_000):
         before = w.copy()
         for i in range(len(w)):
             rest = b[i] - a[i] @ w + a[i, i] * w[i]
             w[i] = np.sign(rest) * max(0.0, abs(rest) - alpha * l1_ratio) / (a[i, i] + alpha * (1 - l1_ratio) or 1.0)
-        if np.abs(w - before).max() < 1e-12:
+        if np.abs(w - before).max(initial=0.0) < 1e-12:
             break
-    return Ridge(columns, w, my - w @ mx, alpha, float("nan"))
+    return w, my - w @ mx
+
+
+def elastic_net(df: DataFrame, columns: list[str], target: str, alpha: float, l1_ratio: float = 1.0) -> Ridge:
+    """Lasso (l1_ratio 1) or elastic net at one alpha, from the sufficient statistics."""
+    w, b = _descend(grams(df, columns, target, F.lit(0))[0], alpha, l1_ratio)
+    return Ridge(columns, w, b, alpha, float("nan"))
+
+
+def elastic_net_cv(df: DataFrame, columns: list[str], target: str, key: str, l1_ratio: float = 1.0, alphas=ALPHAS, folds: int = FOLDS) -> Ridge:
+    """Lasso or elastic net with the alpha of the best mean R2 over folds (a hash of the key); the data are read once.
+
+    Alphas are taken from the largest down, each from the weights of the one before.
+    """
+    by_fold = grams(df, columns, target, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(folds)))
+    parts = list(by_fold.values())
+    whole = Gram(*(sum(x) for x in zip(*(vars(g).values() for g in parts))))
+    usable = [g for g in parts if g.n > 1 and whole.n - g.n > 1]
+    down = sorted(alphas, reverse=True)
+    scores = np.zeros(len(down))
+    for g in usable:
+        w, rest = None, whole - g
+        for i, alpha in enumerate(down):
+            w, b = _descend(rest, alpha, l1_ratio, w)
+            scores[i] += g.r2(w, b) / len(usable)
+    best = int(np.argmax(scores))
+    w, b = _descend(whole, down[best], l1_ratio)
+    return Ridge(columns, w, b, float(down[best]), float(scores[best]))
 
 
 def prediction_metrics(df: DataFrame, target: str, prediction: str = "prediction") -> DataFrame:
@@ -138,20 +212,20 @@ def prediction_metrics(df: DataFrame, target: str, prediction: str = "prediction
 
 
 def stratified(df: DataFrame, strata: dict[str, Column], columns: list[str], target: str, key: str) -> list[tuple[str, int, float | None, float | None]]:
-    """(stratum, test rows, r, R2) of a ridge fitted and tested within each stratum."""
+    """(stratum, test rows, r, R2) of a ridge fitted and tested within each stratum; all that is learned comes from its training rows."""
     out = []
     for name, condition in strata.items():
-        data = feature_matrix(df.filter(condition), columns, target, key)
-        kept = [c for c in columns if c in data.columns]
+        data = stage(df.filter(condition).filter(F.col(target).isNotNull()), "stratum")
         test = held_out(F.col(key))
-        train = data.filter(~test)
-        if not kept or train.isEmpty() or data.filter(test).isEmpty():
+        if data.filter(~test).isEmpty() or data.filter(test).isEmpty():
+            out.append((name, 0, None, None))
+            continue
+        features = Features.fit(data.filter(~test), columns, target, key)
+        if not features.columns:
             out.append((name, 0, None, None))
             continue
-        fit = ridge_cv(standardised(train, kept), kept, target, key)
-        stats = train.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in kept]).first()
-        scaled = data.filter(test).withColumns({c: (F.col(c) - F.lit(stats[c]["m"])) / F.lit(stats[c]["s"] or 1.0) for c in kept})
-        row = prediction_metrics(fit.predict(scaled), target).first()
+        fit = ridge_cv(features.transform(data.filter(~test)), features.columns, target, key)
+        row = prediction_metrics(fit.predict(features.transform(data.filter(test))), target).first()
         out.append((name, row["n"], row["r"], row["r2"]))
     return out
 

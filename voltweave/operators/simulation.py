@@ -18,15 +18,18 @@ DAYS = 365
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number in (0, 1) from a hash of the keys: the same on every run and partitioning."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) + 0.5) / F.lit(float(1 << 53))
+    """A number in (0, 1) from a hash of the keys: the same on every run, partitioning and engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def simulate_arrivals(spark: SparkSession, rate=RATE, days: int = DAYS, seed: int = 7, chargers: int = 1, period: float = PERIOD) -> DataFrame:
     """charger_id, hour of arrivals of a Poisson process with a rate that varies over the day, by thinning.
 
     Days are independent, so each is drawn on its own: exponential gaps at the
-    greatest rate, summed, each kept with the share of the rate at its time.
+    greatest rate, summed, each kept with the share of the rate at its time.  A day
+    gets a number of draws that all but never fails to pass its end; if one does,
+    that is an error.
     """
     top = rate[0] + sum(abs(x) + x for x in rate[1:])
     mean = top * period
@@ -36,7 +39,9 @@ def simulate_arrivals(spark: SparkSession, rate=RATE, days: int = DAYS, seed: in
     keys = [F.col(c) for c in ("charger_id", "day", "i")]
     gap = -F.log(uniform(seed, *keys)) / top
     run = Window.partitionBy("charger_id", "day").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    timed = draws.withColumn("t", F.sum(gap).over(run)).filter(F.col("t") < period)
+    summed = draws.withColumn("t", F.sum(gap).over(run))
+    short = F.raise_error(F.lit("a day's draws end before its period"))
+    timed = summed.filter(F.when((F.col("i") == most) & (F.col("t") < period), short.isNull()).otherwise(F.col("t") < period))
     kept = timed.filter(uniform(seed + 1, *keys) <= intensity(F.col("t"), rate, period) / top)
     return kept.select("charger_id", (F.col("day") * period + F.col("t")).alias("hour"))
 

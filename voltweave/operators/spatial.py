@@ -1,8 +1,10 @@
 """Joins by distance: grid cells make them equi-joins, an exact distance decides.
 
-A cell is at least a radius high and wide anywhere in the data, so two points
-within the radius are in the same or adjacent cells; the points of one side are
-repeated over the nine cells around.  Longitudes must not cross the antimeridian.
+The Earth is cut into bands of latitude a radius high, each band into cells that are
+at least a radius wide anywhere in it and in its neighbours, so two points within
+the radius are in the same or adjacent cells of the left one's band; the points of
+the right side are repeated over three bands and three cells of each.  No pass over
+the data is needed beforehand.  Longitudes must not cross the antimeridian.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from ..plans.staging import stage
 FARTHEST_KM = math.pi * 6371.0088
 
 
-def _cells(df: DataFrame, height: float, width: float) -> tuple[Column, Column]:
-    return F.floor((df["lat"] + 90) / height), F.floor((df["lon"] + 180) / width)
+def _band(lat: Column, height: float) -> Column:
+    return F.floor((lat + 90) / height)
 
 
-def cell_size(radius_km: float, highest_lat: float) -> tuple[float, float]:
-    height = radius_km / DEGREE_KM * 1.000001
-    narrow = math.cos(math.radians(min(89.9, highest_lat + height)))
-    return min(180.0, height), min(360.0, height / narrow)
+def _cell(lon: Column, band: Column, height: float) -> Column:
+    """Number of the cell of a band in which a longitude lies."""
+    low = band * height - 90
+    highest = F.least(F.lit(89.9), F.greatest(F.abs(low), F.abs(low + height)) + height)
+    return F.floor((lon + 180) / F.least(F.lit(360.0), F.lit(height) / F.cos(F.radians(highest))))
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
@@ -36,24 +39,32 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float) -> DataFram
     Both sides need lat and lon and must share no other column name; the right
     side's come out as right_lat and right_lon.  The right side is the one repeated.
     """
-    reach = F.max(F.abs("lat"))
-    highest = max((x or 0.0) for x in (left.agg(reach).first()[0], right.agg(reach).first()[0]))
-    height, width = cell_size(radius_km, highest)
-    ly, lx = _cells(left, height, width)
-    ry, rx = _cells(right, height, width)
+    height = min(180.0, radius_km / DEGREE_KM * 1.000001)
     near = F.array(*map(F.lit, (-1, 0, 1)))
-    spread = right.withColumn("__cy", F.explode(F.transform(near, lambda d: ry + d)))
-    spread = spread.withColumn("__cx", F.explode(F.transform(near, lambda d: rx + d))).withColumnsRenamed({"lat": "right_lat", "lon": "right_lon"})
-    pairs = left.withColumn("__cy", ly).withColumn("__cx", lx).join(spread, ["__cy", "__cx"]).drop("__cy", "__cx")
+    spread = right.withColumn("__cy", F.explode(F.transform(near, lambda d: _band(right["lat"], height) + d)))
+    spread = spread.withColumn("__cx", F.explode(F.transform(near, lambda d: _cell(F.col("lon"), F.col("__cy"), height) + d))).withColumnsRenamed({"lat": "right_lat", "lon": "right_lon"})
+    here = left.withColumn("__cy", _band(left["lat"], height))
+    pairs = here.withColumn("__cx", _cell(F.col("lon"), F.col("__cy"), height)).join(spread, ["__cy", "__cx"]).drop("__cy", "__cx")
     return pairs.withColumn("distance_km", haversine(F.col("lat"), F.col("lon"), F.col("right_lat"), F.col("right_lon"))).filter(F.col("distance_km") <= radius_km)
 
 
-def nearest_join(left: DataFrame, right: DataFrame, key: str, order: str, ties: bool = False, start_km: float = 50.0) -> DataFrame:
+def usual_spacing(points: DataFrame) -> float:
+    """Radius in km of a circle that would hold about four of the points, were they spread evenly over their bounds."""
+    n, low, high, west, east = points.agg(F.count(F.lit(1)), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    if not n or low is None or west is None:
+        return FARTHEST_KM
+    area = max(1e-6, (high - low) * (east - west) * math.cos(math.radians((low + high) / 2))) * DEGREE_KM**2
+    return min(FARTHEST_KM, max(0.1, math.sqrt(4 * area / n / math.pi)))
+
+
+def nearest_join(left: DataFrame, right: DataFrame, key: str, order: str, ties: bool = False, start_km: float | None = None) -> DataFrame:
     """Each row of ``left`` (unique ``key``) with its nearest of ``right``; of equals the first by ``order``, or all if ties.
 
     Radius joins with a growing radius, each over the rows that found nothing so far.
+    The first radius follows from how dense the right side is, unless given.
     """
-    found, rest, radius = None, left, start_km
+    right = stage(right, "near-right")
+    found, rest, radius = None, stage(left, "near-left"), start_km or usual_spacing(right)
     while True:
         near = radius_join(rest, right, radius)
         if ties:
@@ -73,15 +84,25 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, order: str, ties:
         radius = min(FARTHEST_KM, radius * 4)
 
 
+def named_once(facilities: DataFrame) -> DataFrame:
+    """Facilities (facility_id, facility_name, lat, lon) with one row for each name: the first's id, the last's place."""
+    last = F.max_by(F.struct("lat", "lon"), "facility_id").alias("at")
+    nameless = F.when(F.col("facility_name").isNull(), F.col("facility_id")).alias("nameless")
+    return facilities.groupBy("facility_name", nameless).agg(F.min("facility_id").alias("facility_id"), last).select("facility_id", "facility_name", "at.lat", "at.lon")
+
+
 def near_facilities(nodes: DataFrame, facilities: DataFrame, params: Params = DEFAULTS, how: str = "last") -> DataFrame:
-    """Nodes within reach of a facility (facility_id, facility_name, lat, lon), with the last in table order or the nearest."""
-    pairs = radius_join(nodes.select("node_id", "lat", "lon"), facilities.select("facility_id", "facility_name", "lat", "lon"), params.facility_km)
+    """Nodes within reach of a facility (facility_id, facility_name, lat, lon), with the last in table order or the nearest.  Facilities of one name are one."""
+    pairs = radius_join(nodes.select("node_id", "lat", "lon"), named_once(facilities), params.facility_km)
     pick = F.max_by("facility_name", "facility_id") if how == "last" else F.min_by("facility_name", F.struct("distance_km", "facility_id"))
     return pairs.groupBy("node_id").agg(pick.alias("facility_name"), F.count(F.lit(1)).alias("facilities"))
 
 
 def road_attributes(points: DataFrame, nodes: DataFrame, key: str, params: Params = DEFAULTS) -> DataFrame:
-    """The greatest traffic volume (and that node's speed) within reach of each point; with none in reach, the nearest node's."""
+    """The greatest traffic volume (and that node's speed) within reach of each point; with none in reach, the nearest node's.
+
+    ``nodes`` should be those of the road graph that have an edge (graph.connected_nodes).
+    """
     valued = nodes.filter("traffic_volume is not null").select("node_id", F.col("lat"), F.col("lon"), "traffic_volume", "free_flow_speed")
     here = stage(points.select(key, "lat", "lon"), "points")
     reach = radius_join(here, valued, params.road_km)
@@ -102,12 +123,12 @@ def neighbor_stats(stations: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return stations.select("station_id").join(stats, "station_id", "left").withColumn("neighbors", F.coalesce("neighbors", F.lit(0)))
 
 
-def closest_across(nodes: DataFrame, group: str, start_km: float = 25.0) -> DataFrame:
+def closest_across(nodes: DataFrame, group: str, start_km: float | None = None) -> DataFrame:
     """For each group of nodes (node_id, lat, lon, ``group``) its closest pair with a node of another group.
 
     Columns: ``group``, src, dst (src < dst), distance_km.  Equal distances go by the smaller pair.
     """
-    found, radius = None, start_km
+    found, radius = None, start_km or usual_spacing(nodes)
     rest = nodes
     while True:
         other = nodes.select(F.col("node_id").alias("right_id"), "lat", "lon", F.col(group).alias("right_group"))

@@ -113,9 +113,14 @@ def status_number(status: Column) -> Column:
 def dead_time_filter(arrivals: DataFrame, d: float, by: str = "charger_id", hour: str = "hour") -> DataFrame:
     """Arrivals that find the charger free: each at least ``d`` hours after the last one kept.
 
-    A fold over a charger's sorted arrivals, as which are kept depends on which were.
+    An arrival at least ``d`` hours after the one before is kept whatever happened
+    earlier, so a charger's arrivals fall into stretches of their own there; only
+    within a stretch they are folded in order.
     """
+    order = Window.partitionBy(by).orderBy(hour)
+    apart = F.coalesce(F.col(hour) - F.lag(hour).over(order) >= d, F.lit(True)).cast("int")
+    parts = arrivals.select(by, hour).withColumn("__apart", apart).withColumn("__part", F.sum("__apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<double>").alias("kept"))
     step = lambda acc, t: F.when(t >= acc["last"] + d, F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
     kept = F.aggregate(F.array_sort(F.collect_list(hour)), start, step, lambda acc: acc["kept"])
-    return arrivals.groupBy(by).agg(kept.alias("kept")).select(by, F.explode("kept").alias(hour))
+    return parts.groupBy(by, "__part").agg(kept.alias("kept")).select(by, F.explode("kept").alias(hour))

@@ -6,10 +6,11 @@ times and stations, nearest rows from full scans, paths by recursion.
 
 from __future__ import annotations
 
+import math
 import re
 
 from ..config import DEFAULTS, EARTH_KM, EV_SHARE, SOUTH_RING
-from ..operators.simulation import RATE
+from ..operators.simulation import DAYS, RATE
 
 EV_2023 = EV_SHARE[DEFAULTS.year]
 
@@ -120,6 +121,19 @@ PARTS: dict[str, str] = {
 }
 
 
+def _gap_parts(near: str, pairs: str, lengths: str, parts: str, distances: str, rows: str, threshold: int) -> dict[str, str]:
+    """The steps from routes to ranked gaps for one kind of facility."""
+    return {
+        pairs: f"SELECT s.*, n.lat, n.lon, c.facility_name, lead(n.lat) OVER w AS lat_b, lead(n.lon) OVER w AS lon_b, lead(s.node_id) OVER w AS node_b, lead(c.facility_name) OVER w AS name_b FROM route_steps s JOIN graph_nodes n USING (node_id) LEFT JOIN {near} c USING (node_id) WINDOW w AS (PARTITION BY origin, dest ORDER BY seq)",
+        lengths: f"SELECT p.origin, p.dest, p.seq, p.node_id, {hav('p', 'q')} AS step_km, coalesce(p.facility_name, p.name_b) AS passed FROM {pairs} p, LATERAL (SELECT p.lat_b AS lat, p.lon_b AS lon) q WHERE p.node_b IS NOT NULL",
+        parts: f"SELECT *, sum((passed IS NOT NULL)::INT) OVER (PARTITION BY origin, dest ORDER BY seq ROWS UNBOUNDED PRECEDING) AS part FROM {lengths}",
+        distances: f"""SELECT origin, dest, seq, node_id, sum(CASE WHEN passed IS NULL THEN step_km ELSE 0 END) OVER (PARTITION BY origin, dest, part ORDER BY seq ROWS UNBOUNDED PRECEDING) AS distance_km,
+            last_value(passed IGNORE NULLS) OVER (PARTITION BY origin, dest ORDER BY seq ROWS UNBOUNDED PRECEDING) AS facility_name FROM {parts}""",
+        rows: f"""SELECT g.node_id, g.origin, g.dest, g.distance_km, g.facility_name, 1000 + g.origin * 379 % 9000 AS origin_population, 1000 + g.dest * 379 % 9000 AS dest_population FROM {distances} g WHERE distance_km > {threshold}
+            QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY round(distance_km, 9) DESC, origin_population DESC, dest_population DESC, origin, dest, seq) = 1""",
+    }
+
+
 def _edges(pairs: str) -> str:
     return f"""SELECT e.src, e.dst, {hav('a', 'b')} AS length, {hav('a', 'b')} / e.speed AS time FROM (SELECT least(i, j) AS src, greatest(i, j) AS dst, max(50 + i % 50) AS speed FROM {pairs} WHERE i <> j GROUP BY ALL) e
         JOIN graph_nodes a ON a.node_id = e.src JOIN graph_nodes b ON b.node_id = e.dst"""
@@ -131,7 +145,16 @@ PARTS |= {
     "block_both": "SELECT src, dst FROM block_edges UNION ALL SELECT dst, src FROM block_edges",
     "reached_blocks(node_id, other)": "SELECT node_id, node_id FROM graph_nodes UNION SELECT r.node_id, e.dst FROM reached_blocks r JOIN block_both e ON e.src = r.other",
     "components": "SELECT node_id, min(other) AS component FROM reached_blocks GROUP BY node_id",
-    "town_nodes": near_join("", "hubs", "graph_nodes", "hub_id", "node_id", "r.node_id"),
+    "connected_nodes": "SELECT * FROM graph_nodes WHERE node_id IN (SELECT src FROM connected_edges UNION ALL SELECT dst FROM connected_edges)",
+    "linked_nodes": "SELECT * FROM nodes WHERE (node_id % 4 IN (0, 1) AND node_id + 1 IN (SELECT node_id FROM nodes)) OR ((node_id - 1) % 4 IN (0, 1) AND node_id - 1 IN (SELECT node_id FROM nodes))",
+    "town_nodes": near_join("", "hubs", "connected_nodes", "hub_id", "node_id", "r.node_id"),
+    "town_ends": "SELECT src AS node_id, time FROM connected_edges UNION ALL SELECT dst, time FROM connected_edges UNION ALL SELECT -hub_id - 1, 1::DOUBLE FROM town_nodes UNION ALL SELECT node_id, 1::DOUBLE FROM town_nodes",
+    "town_places": "SELECT node_id, lat, lon, false AS is_town FROM graph_nodes UNION ALL SELECT -hub_id - 1, lat, lon, true FROM hubs",
+    "comp_links": f"""SELECT a.component AS ca, b.component AS cb, {hav('a', 'b')} AS d, least(a.node_id, b.node_id) AS src, greatest(a.node_id, b.node_id) AS dst
+        FROM (SELECT * FROM graph_nodes JOIN components USING (node_id)) a JOIN (SELECT * FROM graph_nodes JOIN components USING (node_id)) b ON a.component < b.component
+        QUALIFY row_number() OVER (PARTITION BY a.component, b.component ORDER BY {hav('a', 'b')}, least(a.node_id, b.node_id), greatest(a.node_id, b.node_id)) = 1""",
+    "smaller_links(src, dst, comp)": """SELECT src, dst, ca FROM comp_links UNION SELECT s.src, s.dst, CASE WHEN f.ca = s.comp THEN f.cb ELSE f.ca END
+        FROM smaller_links s JOIN comp_links e ON e.src = s.src AND e.dst = s.dst JOIN comp_links f ON (f.ca = s.comp OR f.cb = s.comp) AND (f.d, f.src, f.dst) < (e.d, e.src, e.dst)""",
     "links": "SELECT src, dst, time AS w FROM connected_edges UNION ALL SELECT dst, src, time FROM connected_edges",
     "costs(origin, node_id, cost) USING KEY (origin, node_id)": """SELECT DISTINCT node_id, node_id, 0::DOUBLE FROM town_nodes UNION
         SELECT c.origin, l.dst, min(c.cost + l.w) FROM costs c JOIN links l ON l.src = c.node_id LEFT JOIN recurring.costs k ON k.origin = c.origin AND k.node_id = l.dst WHERE k.cost IS NULL OR c.cost + l.w < k.cost GROUP BY ALL""",
@@ -140,14 +163,10 @@ PARTS |= {
         SELECT w.from_node, w.dest, p.pred, list_prepend(p.pred, w.path), w.road_cost FROM walks w JOIN paths p ON p.origin = w.from_node AND p.node_id = w.cur WHERE p.pred IS NOT NULL""",
     "routes": "SELECT t.hub_id AS origin, w.dest, w.path, w.road_cost, w.road_cost + CASE WHEN t.hub_id = w.dest THEN 0 ELSE 2 END AS cost FROM walks w JOIN town_nodes t ON t.node_id = w.from_node WHERE w.cur = w.from_node",
     "near_chargers": f"SELECT n.node_id, max_by(s.name, s.station_id) AS facility_name FROM graph_nodes n JOIN stations s ON {hav('n', 's')} <= 20 GROUP BY n.node_id",
+    "near_hubs": f"SELECT n.node_id, max_by(s.name, s.hub_id) AS facility_name FROM graph_nodes n JOIN (SELECT * FROM hubs WHERE hub_id % 5 = 0) s ON {hav('n', 's')} <= 20 GROUP BY n.node_id",
     "route_steps": "SELECT origin, dest, unnest(range(len(path))) AS seq, unnest(path) AS node_id FROM routes",
-    "route_pairs": "SELECT s.*, n.lat, n.lon, c.facility_name, lead(n.lat) OVER w AS lat_b, lead(n.lon) OVER w AS lon_b, lead(s.node_id) OVER w AS node_b, lead(c.facility_name) OVER w AS name_b FROM route_steps s JOIN graph_nodes n USING (node_id) LEFT JOIN near_chargers c USING (node_id) WINDOW w AS (PARTITION BY origin, dest ORDER BY seq)",
-    "route_lengths": f"SELECT p.origin, p.dest, p.seq, p.node_id, {hav('p', 'q')} AS step_km, coalesce(p.facility_name, p.name_b) AS passed FROM route_pairs p, LATERAL (SELECT p.lat_b AS lat, p.lon_b AS lon) q WHERE p.node_b IS NOT NULL",
-    "route_parts": "SELECT *, sum((passed IS NOT NULL)::INT) OVER (PARTITION BY origin, dest ORDER BY seq ROWS UNBOUNDED PRECEDING) AS part FROM route_lengths",
-    "gap_distances": """SELECT origin, dest, seq, node_id, sum(CASE WHEN passed IS NULL THEN step_km ELSE 0 END) OVER (PARTITION BY origin, dest, part ORDER BY seq ROWS UNBOUNDED PRECEDING) AS distance_km,
-        last_value(passed IGNORE NULLS) OVER (PARTITION BY origin, dest ORDER BY seq ROWS UNBOUNDED PRECEDING) AS facility_name FROM route_parts""",
-    "gaps": """SELECT g.node_id, g.origin, g.dest, g.distance_km, g.facility_name, 1000 + g.origin * 379 % 9000 AS origin_population, 1000 + g.dest * 379 % 9000 AS dest_population FROM gap_distances g WHERE distance_km > 75
-        QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY round(distance_km, 9) DESC, origin_population DESC, dest_population DESC, origin, dest, seq) = 1""",
+    **_gap_parts("near_chargers", "route_pairs", "route_lengths", "route_parts", "gap_distances", "gaps", 75),
+    **_gap_parts("near_hubs", "hub_pairs", "hub_lengths", "hub_parts", "hub_distances", "hub_gap_rows", 200),
     # prediction
     "training": "SELECT p_partkey, p_size::DOUBLE AS p_size, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS p_retailprice, p_brand, p_type, (p_size * 2 + p_partkey % 13)::DOUBLE AS target FROM part WHERE p_partkey % 11 <> 0",
     "matrix_frame": """SELECT p_partkey, p_size, coalesce(p_retailprice, avg(p_retailprice) OVER ()) AS p_retailprice, (dense_rank() OVER (ORDER BY p_brand) - 1)::DOUBLE AS p_brand, (dense_rank() OVER (ORDER BY p_type) - 1)::DOUBLE AS p_type, target FROM training""",
@@ -164,6 +183,14 @@ def rate(t: str) -> str:
     return f"({x[0]} + {x[1]} * (1 + sin({w} * {t})) + {x[2]} * (1 + sin(2 * {w} * {t})) + {x[3]} * (1 + cos({w} * {t})) + {x[4]} * (1 + cos(2 * {w} * {t})))"
 
 
+TOP = RATE[0] + sum(abs(x) + x for x in RATE[1:])
+MOST = int(TOP * 24 + 12 * math.sqrt(TOP * 24) + 30)
+
+
+def uniform(seed: int) -> str:
+    return f"((('0x' || substr(md5('{seed}|0|' || day || '|' || i), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
 def primitive(t: str) -> str:
     w = "(2 * pi() / 24)"
     return f"({sum(RATE)!r}::DOUBLE * ({t}) - {RATE[1]!r}::DOUBLE / {w} * cos({w} * ({t})) - {RATE[2]!r}::DOUBLE / (2 * {w}) * cos(2 * {w} * ({t})) + {RATE[3]!r}::DOUBLE / {w} * sin({w} * ({t})) + {RATE[4]!r}::DOUBLE / (2 * {w}) * sin(2 * {w} * ({t})))"
@@ -199,7 +226,7 @@ FINAL: dict[str, str] = {
     "hourly_plot_state": """SELECT site_id, CASE WHEN sum(coalesce(q, 0) + coalesce(free_rate, 0) + coalesce(m, 0) + coalesce(r, 0)) = 0 THEN 'No data' WHEN max(coalesce(q, 0) + coalesce(free_rate, 0)) < 0.1 AND max(coalesce(m, 0)) < 0.1 THEN 'Insufficient' ELSE 'Plot' END AS plot_state FROM hourly GROUP BY site_id""",
     "peak_hours": "SELECT * FROM peak_names",
     "site_stats": f"SELECT site_id, stations_with_plugins, {r6('daily_charges', 'daily_queued', 'daily_missed', 'median_occupied_s')}, peak, evs_supported, national_benefit, missed_cost, round(queue_cost, 4) AS queue_cost FROM site_stats",
-    "site_stats_display": "SELECT site_id, strftime(make_timestamp(trunc(median_occupied_s)::BIGINT * 1000000), '%H:%M:%S') AS charge_time, peak, '~' || evs_supported || ' EVs' AS evs_supported, '$' || format('{:,}', national_benefit) AS national_benefit FROM site_stats",
+    "site_stats_display": "SELECT site_id, coalesce(round_even(daily_charges, 1), 0) AS daily_charges, coalesce(round_even(daily_queued, 1), 0) AS daily_queued, coalesce(round_even(daily_missed, 1), 0) AS daily_missed, '$' || format('{:,}', missed_cost) AS missed_cost, CASE WHEN queue_cost = 0 THEN '0' ELSE '$' || format('{:,}', round_even(queue_cost, 0)::BIGINT) END AS queue_cost, strftime(make_timestamp(trunc(median_occupied_s)::BIGINT * 1000000), '%H:%M:%S') AS charge_time, peak, '~' || evs_supported || ' EVs' AS evs_supported, '$' || format('{:,}', national_benefit) AS national_benefit FROM site_stats",
     "turn_in_rates": f"SELECT station_id, site_id, {r6('avg_misses_per_day', 'avg_plugins_per_day', 'daily_demand', 'turnin_rate', 'ev_turnin_rate')}, o_total, days_observed, traffic_volume FROM rates",
     "demand_strata": "SELECT stratum, count(*) AS stations, round(avg(ev_turnin_rate), 6) AS mean_rate FROM strata GROUP BY stratum",
     "turnin_summary": "SELECT stratum, count(ev_turnin_rate) AS n, round(avg(ev_turnin_rate), 6) AS mean, round(stddev_samp(ev_turnin_rate), 6) AS std, round(min(ev_turnin_rate), 6) AS low, round(quantile_cont(ev_turnin_rate, 0.25), 6) AS q25, round(quantile_cont(ev_turnin_rate, 0.5), 6) AS q50, round(quantile_cont(ev_turnin_rate, 0.75), 6) AS q75, round(max(ev_turnin_rate), 6) AS high FROM strata GROUP BY stratum",
@@ -209,7 +236,7 @@ FINAL: dict[str, str] = {
     "station_markers": """SELECT s.station_id, round(sqrt(25 + 10 * coalesce(t.daily_charges, 0)), 6) AS radius, round(greatest(0::DOUBLE, least(1::DOUBLE, coalesce(t.daily_missed, 0) / 2)), 6) AS shade,
         '<b>' || s.name || ':</b><br>Power: ' || s.kw_rated::INT || '<br>Status: ' || s.installation_status || '<br>' AS tooltip FROM stations s LEFT JOIN site_stats t USING (site_id)""",
     "near_facility_nodes": f"SELECT n.node_id, max_by(s.name, s.station_id) AS facility_name, count(*) AS facilities FROM nodes n JOIN stations s ON {hav('n', 's')} <= 20 GROUP BY n.node_id",
-    "nearest_node": f"SELECT town_id, node_id, {r6('distance_km')} FROM ({near_join('', 'towns', 'nodes', 'town_id', 'node_id', 'r.node_id')})",
+    "nearest_node": f"SELECT town_id, node_id, {r6('distance_km')} FROM ({near_join('', 'towns', 'linked_nodes', 'town_id', 'node_id', 'r.node_id')})",
     "nearest_area": f"SELECT station_id, area_id, population_estimate, {r6('distance_km')} FROM station_areas",
     "nearby_road_attributes": "SELECT station_id, node_id, traffic_volume, free_flow_speed, in_reach FROM roads",
     "neighbor_stats": f"""SELECT f.station_id, coalesce(s.neighbors, 0) AS neighbors, s.mean_distance_km, s.mean_population_estimate, s.mean_traffic_volume, s.mean_free_flow_speed FROM features f LEFT JOIN
@@ -228,6 +255,13 @@ FINAL: dict[str, str] = {
     "distance_since_facility": f"SELECT origin, dest, seq::INT AS seq, node_id, {r6('distance_km')}, facility_name FROM gap_distances",
     "ranked_gaps": f"SELECT node_id, origin, dest, {r6('distance_km')}, facility_name, origin_population, dest_population FROM gaps",
     "gap_routes": "SELECT DISTINCT origin, dest FROM gaps",
+    "hub_gaps": f"SELECT node_id, origin, dest, {r6('distance_km')}, facility_name, origin_population, dest_population FROM hub_gap_rows",
+    "hub_gap_routes": "SELECT DISTINCT origin, dest FROM hub_gap_rows",
+    "town_graph": "SELECT p.node_id, round(p.lat, 6) AS lat, round(p.lon, 6) AS lon, p.is_town, count(*) AS degree, round(sum(e.time), 6) AS time FROM town_places p JOIN town_ends e USING (node_id) GROUP BY ALL",
+    "patch_components": "SELECT src, dst, round(d, 6) AS length, round(d / 50, 6) AS time FROM comp_links e WHERE NOT EXISTS (SELECT 1 FROM smaller_links s WHERE s.src = e.src AND s.dst = e.dst AND s.comp = e.cb)",
+    "standardised_features": "SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 6) + 0::DOUBLE AS p_size, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) + 0::DOUBLE AS p_retailprice, ('0x' || substr(md5(p_partkey::VARCHAR), 1, 8))::BIGINT % 5 = 0 AS held_out FROM matrix_frame",
+    "simulate_arrivals": f"""SELECT 0::BIGINT AS charger_id, round(day * 24 + t, 6) AS hour FROM (SELECT day, i, sum(-ln({uniform(7)}) / {TOP!r}::DOUBLE) OVER (PARTITION BY day ORDER BY i ROWS UNBOUNDED PRECEDING) AS t
+        FROM range({DAYS}) d(day), range(1, {MOST + 1}) r(i)) WHERE t < 24 AND {uniform(8)} <= {rate('t')} / {TOP!r}::DOUBLE""",
     "feature_matrix": f"SELECT p_partkey, p_size, {r6('p_retailprice')}, p_brand, p_type, target FROM matrix_frame",
     "prediction_metrics": "SELECT count(*) AS n, round(corr(target, p), 6) AS r, round(1 - sum((target - p) ** 2) / sum((target - m) ** 2), 6) AS r2 FROM (SELECT target, p_size * 1.9::DOUBLE + 7.5::DOUBLE AS p, avg(target) OVER () AS m FROM matrix_frame)",
     "dead_time_filter": f"SELECT charger_id, {r6('hour')} FROM kept",

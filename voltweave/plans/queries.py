@@ -65,10 +65,9 @@ class Tables:
 
     @cached_property
     def town_nodes(self) -> DataFrame:
-        """Hubs as towns, each tied to the nearest node of the connected graph."""
-        nodes = self.fixtures.graph_nodes()
-        found = spatial.nearest_join(self.fixtures.hubs().select(F.col("hub_id").alias("town_id"), "lat", "lon"), nodes, "town_id", "node_id")
-        return found.select("town_id", "node_id")
+        """Hubs as towns, each tied to the nearest node of the connected graph that has an edge."""
+        towns = self.fixtures.hubs().select(F.col("hub_id").alias("town_id"), "lat", "lon")
+        return graph.attach_towns(towns, self.fixtures.graph_nodes(), self.fixtures.connected_edges())
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -82,12 +81,18 @@ class Tables:
         chargers = self.fixtures.stations().select(F.col("station_id").alias("facility_id"), F.col("name").alias("facility_name"), "lat", "lon")
         return spatial.near_facilities(self.fixtures.graph_nodes(), chargers, self.params)
 
-    gap_distances = cached_property(lambda self: gaps.distance_since_facility(self.routes, self.fixtures.graph_nodes(), self.near_chargers))
-
     @cached_property
-    def gaps(self) -> DataFrame:
-        people = self.fixtures.hubs().select(F.col("hub_id").alias("town_id"), (F.lit(1000) + (F.col("hub_id") * 379) % 9000).alias("population"))
-        return gaps.ranked_gaps(self.gap_distances, people, self.params.charger_gap_km)
+    def near_hubs(self) -> DataFrame:
+        """Every fifth town's place has a charging hub."""
+        hubs = self.fixtures.hubs().filter("hub_id % 5 = 0").select(F.col("hub_id").alias("facility_id"), F.col("name").alias("facility_name"), "lat", "lon")
+        return spatial.near_facilities(self.fixtures.graph_nodes(), hubs, self.params)
+
+    kept_routes = cached_property(lambda self: stage(self.routes, "town-routes"))
+    gap_distances = cached_property(lambda self: gaps.distance_since_facility(self.kept_routes, self.fixtures.graph_nodes(), self.near_chargers))
+    hub_distances = cached_property(lambda self: gaps.distance_since_facility(self.kept_routes, self.fixtures.graph_nodes(), self.near_hubs))
+    people = cached_property(lambda self: self.fixtures.hubs().select(F.col("hub_id").alias("town_id"), (F.lit(1000) + (F.col("hub_id") * 379) % 9000).alias("population")))
+    gaps = cached_property(lambda self: gaps.ranked_gaps(self.gap_distances, self.people, self.params.charger_gap_km))
+    hub_gaps = cached_property(lambda self: gaps.ranked_gaps(self.hub_distances, self.people, self.params.hub_gap_km))
 
     @cached_property
     def training(self) -> DataFrame:
@@ -273,7 +278,8 @@ def site_stats(t):
 
 @query
 def site_stats_display(t):
-    return demand.present_stats(t.stats).select("site_id", "charge_time", "peak", "evs_supported", "national_benefit")
+    shown = demand.present_stats(t.stats)
+    return shown.select("site_id", "charge_time", "peak", "evs_supported", "national_benefit", "daily_charges", "daily_queued", "daily_missed", "missed_cost", "queue_cost")
 
 
 @query
@@ -324,10 +330,20 @@ def near_facility_nodes(t):
 
 @query
 def nearest_node(t):
-    found = spatial.nearest_join(t.fixtures.towns().select("town_id", "lat", "lon"), t.fixtures.nodes().select("node_id", "lat", "lon"), "town_id", "node_id")
+    nodes = t.fixtures.nodes()
+    found = graph.attach_towns(t.fixtures.towns(), nodes, t.fixtures.sparse_edges())
     return found.select("town_id", "node_id", r6("distance_km"))
 
 
+@query
+def town_graph(t):
+    """The connected graph with its towns and their links."""
+    towns = t.fixtures.hubs().select(F.col("hub_id").alias("town_id"), "lat", "lon")
+    nodes, edges = graph.with_towns(t.fixtures.graph_nodes(), t.fixtures.connected_edges(), towns, t.town_nodes, t.params)
+    ends = graph.both_ways(edges).groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"), F.sum("time").alias("time"))
+    return nodes.join(ends, "node_id").select("node_id", r6("lat"), r6("lon"), "is_town", "degree", r6("time"))
+
+
 @query
 def nearest_area(t):
     return t.areas.select("station_id", "area_id", "population_estimate", r6("distance_km"))
@@ -441,6 +457,16 @@ def gap_routes(t):
     return gaps.gap_routes(t.gaps)
 
 
+@query
+def hub_gaps(t):
+    return t.hub_gaps.select("node_id", "origin", "dest", r6("distance_km"), "facility_name", "origin_population", "dest_population")
+
+
+@query
+def hub_gap_routes(t):
+    return gaps.gap_routes(t.hub_gaps)
+
+
 # --- prediction -------------------------------------------------------------
 
 
@@ -452,7 +478,7 @@ def feature_matrix(t):
 @query
 def standardised_features(t):
     got = model.standardised(t.matrix_frame, ["p_size", "p_retailprice"])
-    return got.select("p_partkey", r6("p_size"), r6("p_retailprice"), model.held_out(F.col("p_partkey")).alias("held_out"))
+    return got.select("p_partkey", (F.round("p_size", 6) + F.lit(0.0)).alias("p_size"), (F.round("p_retailprice", 6) + F.lit(0.0)).alias("p_retailprice"), model.held_out(F.col("p_partkey")).alias("held_out"))
 
 
 @query
@@ -462,13 +488,28 @@ def prediction_metrics(t):
     return got.select("n", r6("r"), r6("r2"))
 
 
+def _tested(t, fit) -> DataFrame:
+    """n, r, R2 on held-out rows and the alpha of a model; features are learned from the training rows alone."""
+    test = model.held_out(F.col("p_partkey"))
+    train = stage(t.training.filter(~test), "train")
+    features = model.Features.fit(train, ["p_size", "p_retailprice", "p_brand", "p_type", "nothing"], "target", "p_partkey")
+    got = fit(stage(features.transform(train), "train-features"), features.columns)
+    return model.prediction_metrics(got.predict(features.transform(t.training.filter(test))), "target").select("n", "r", "r2", F.lit(got.alpha).alias("alpha"))
+
+
 @query
 def ridge_metrics(t):
-    columns = ["p_size", "p_retailprice", "p_brand", "p_type"]
-    test = model.held_out(F.col("p_partkey"))
-    data = model.standardised(t.matrix_frame, columns)
-    fit = model.ridge_cv(data.filter(~test), columns, "target", "p_partkey")
-    return model.prediction_metrics(fit.predict(data.filter(test)), "target").select("n", "r", "r2", F.lit(fit.alpha).alias("alpha"))
+    return _tested(t, lambda train, columns: model.ridge_cv(train, columns, "target", "p_partkey"))
+
+
+@query
+def lasso_metrics(t):
+    return _tested(t, lambda train, columns: model.elastic_net_cv(train, columns, "target", "p_partkey"))
+
+
+@query
+def elastic_net_metrics(t):
+    return _tested(t, lambda train, columns: model.elastic_net_cv(train, columns, "target", "p_partkey", l1_ratio=0.5))
 
 
 @query
@@ -511,7 +552,7 @@ def intensity_grid(t):
 
 @query
 def simulate_arrivals(t):
-    return simulation.simulate_arrivals(t.spark)
+    return simulation.simulate_arrivals(t.spark).select("charger_id", r6("hour"))
 
 
 @query

@@ -73,6 +73,12 @@ class Fixtures:
         key = F.col("l_orderkey")
         return line.select(key.alias("road_id"), seq, *position(F.col("l_partkey")), (F.lit(50) + key % 50).cast("double").alias("free_flow_speed"), ((key % 97) * 100).cast("double").alias("traffic_volume"))
 
+    def sparse_edges(self) -> DataFrame:
+        """Edges between some of the nodes; every fourth has none."""
+        ids = self.table("part", "p_partkey").select(F.col("p_partkey").alias("node_id"))
+        pairs = ids.filter("node_id % 4 in (0, 1)").select(F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst"))
+        return pairs.join(ids, F.col("dst") == F.col("node_id"), "left_semi")
+
     def _ring(self) -> tuple[DataFrame, int]:
         ids = self.table("supplier", "s_suppkey").select(F.col("s_suppkey").alias("i"))
         return ids, ids.count()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import DEFAULTS, Params
+from ..functions.geo import first_vertex, island, ring_centroid, unproject
 from . import schemas
 
 
@@ -21,6 +22,13 @@ class Datasets:
     def path(self, name: str, suffix: str = "parquet") -> str:
         return f"{self.root}/{name}.{suffix}"
 
+    def find(self, ending: str) -> str | None:
+        """Path of the first file, by name, whose name ends with ``ending``; None if there is none."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = sorted(f.getPath().getName() for f in (files.listStatus(root) if files.exists(root) else ()))
+        return next((f"{self.root}/{n}" for n in names if n.endswith(ending)), None)
+
     def parquet(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
@@ -162,6 +170,46 @@ def read_geopackage(spark: SparkSession, path: str, table: str, schema: str, **o
     return spark.read.format("voltweave_gpkg").schema(schema).options(table=table, **options).load(path)
 
 
+def _degrees(parts: Column, epsg: int | None) -> Column:
+    """Vertices in degrees of parts in a projection (none: they are in degrees)."""
+    if epsg is None:
+        return parts
+
+    def vertex(v: Column) -> Column:
+        lat, lon = unproject(v["lon"], v["lat"], epsg)  # easting and northing
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return F.transform(parts, lambda part: F.transform(part, vertex))
+
+
+def _largest(parts: Column) -> Column:
+    """The part of most vertices: the outer ring of the main polygon."""
+    return F.element_at(F.array_sort(parts, lambda a, b: F.size(b) - F.size(a)), 1)
+
+
+def read_hubs(spark: SparkSession, path: str, table: str, key: str, name: str, epsg: int | None = 2193, **options) -> DataFrame:
+    """hub_id, name, lat, lon, island of polygons or points in a GeoPackage, by their centroids."""
+    raw = read_geopackage(spark, path, table, f"`{key}` long, `{name}` string, parts array<array<struct<lon: double, lat: double>>>", **options)
+    lon, lat = ring_centroid(_largest(_degrees(F.col("parts"), epsg)))
+    placed = raw.filter("parts is not null").select(F.col(key).alias("hub_id"), F.col(name).alias("name"), lat.alias("lat"), lon.alias("lon"))
+    return placed.withColumn("island", island(F.col("lon"), F.col("lat")))
+
+
+def read_highways(spark: SparkSession, path: str, table: str, key: str, speed: str, volume: str, epsg: int | None = 2193, **options) -> DataFrame:
+    """road_id, parts (in degrees), free_flow_speed, traffic_volume, island (by the first vertex) of lines in a GeoPackage."""
+    raw = read_geopackage(spark, path, table, f"`{key}` long, `{speed}` double, `{volume}` double, parts array<array<struct<lon: double, lat: double>>>", **options)
+    lines = raw.filter("parts is not null").select(F.col(key).alias("road_id"), _degrees(F.col("parts"), epsg).alias("parts"), F.col(speed).alias("free_flow_speed"), F.col(volume).alias("traffic_volume"))
+    first = first_vertex(F.col("parts"))
+    return lines.withColumn("island", island(first["lon"], first["lat"]))
+
+
+def read_areas(spark: SparkSession, path: str, table: str, key: str, name: str, year: str, people: str, epsg: int | None = 2193, **options) -> DataFrame:
+    """area_id, name, year, population_estimate, lat, lon of areas in a GeoPackage, by their centroids."""
+    raw = read_geopackage(spark, path, table, f"`{key}` long, `{name}` string, `{year}` int, `{people}` double, parts array<array<struct<lon: double, lat: double>>>", **options)
+    lon, lat = ring_centroid(_largest(_degrees(F.col("parts"), epsg)))
+    return raw.filter("parts is not null").select(F.col(key).alias("area_id"), F.col(name).alias("name"), F.col(year).alias("year"), F.col(people).alias("population_estimate"), lat.alias("lat"), lon.alias("lon"))
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes: node, data; edges: source, target, data) of a GraphML file; data maps key to text."""
     item = "data array<struct<_key: string, _VALUE: string>>"
@@ -201,7 +249,24 @@ def load_or_create_graph(spark: SparkSession, path: str, create) -> tuple[DataFr
         return read_graph(spark, path)
 
 
+def _features(df: DataFrame, kind: str, coordinates: Column, properties: tuple[str, ...]) -> DataFrame:
+    geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+    own = F.struct(*properties) if properties else F.create_map().cast("map<string,string>")
+    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), own.alias("properties"))).alias("feature"))
+
+
 def geojson_features(df: DataFrame, *properties: str) -> DataFrame:
     """One GeoJSON feature (text) for each row with lat and lon."""
-    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
+    return _features(df, "Point", F.array("lon", "lat"), properties)
+
+
+def geojson_lines(df: DataFrame, *properties: str, line: str = "line") -> DataFrame:
+    """One GeoJSON line for each row with an array of [lon, lat], as graph.route_geometry gives it."""
+    return _features(df, "LineString", F.col(line), properties)
+
+
+def geojson_polygons(df: DataFrame, *properties: str, parts: str = "parts") -> DataFrame:
+    """One GeoJSON polygon for each row with rings of structs (lon, lat); each ring is closed."""
+    closed = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    rings = F.transform(parts, lambda r: F.transform(closed(r), lambda v: F.array(v["lon"], v["lat"])))
+    return _features(df, "Polygon", rings, properties)

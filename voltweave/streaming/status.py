@@ -20,11 +20,13 @@ def hourly_counts(log: DataFrame, late: str = "1 day") -> DataFrame:
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("hour_start"), "status", "n")
 
 
-def plugin_stream(log: DataFrame, late: str = "1 day") -> DataFrame:
+def plugin_stream(log: DataFrame) -> DataFrame:
     """Changes to Occupied, by a state of each station's last status.
 
     Rows of a micro-batch are taken in time order; a row that is not newer than
-    the last one seen of its station does not change what was sent.
+    the last one seen of its station, however late, does not change what was sent.
+    The state is one row a station and stays, as the next row is compared with it
+    whenever it comes; there is no watermark.
     """
 
     def detect(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
