@@ -48,16 +48,30 @@ def docs():
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("frequent", [3, 1])
-def test_the_stage_against_all_pairs(spark, make, docs, monkeypatch, frequent):
-    monkeypatch.setattr(nd, "FREQUENT", frequent)
-    monkeypatch.setattr(nd, "SAMPLE", 50 if frequent == 3 else 2)
+@pytest.mark.parametrize("bits", [20, 6])
+def test_the_stage_against_all_pairs(spark, make, docs, monkeypatch, bits):
+    monkeypatch.setattr(nd, "COUNT_BITS", bits)
     want = kept(docs)
     got = corpus_pipeline.drop_near_duplicates(spark, make(docs), "")
     assert sorted(r.doc_id for r in got.collect()) == want and len(want) < len(docs) - 60
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_counts_are_of_all_texts(make, docs):
+    got = nd.token_counts(make(docs).select("text"))
+    tokens = np.concatenate([nd.token_set(t) for _, t in docs])
+    assert np.array_equal(got, np.bincount((tokens >> np.uint64(64 - nd.COUNT_BITS)).astype(int), minlength=1 << nd.COUNT_BITS))
+
+
+def test_clean_rows_stay(spark, make):
+    # A null id and null text beside the id that is the hash of null; one id with different texts; reruns agree.
+    words = [f"w{i}" for i in range(400)]
+    rows = [(42, " ".join(words[:80])), (None, None), (5, " ".join(words[100:180])), (5, " ".join(words[200:280])), (6, " ".join(words[300:380])), (7, " ".join(words[301:380]))]
+    want = sorted([(42, rows[0][1]), (None, None), (5, rows[2][1]), (5, rows[3][1]), (6, rows[4][1])], key=str)
+    for some in (rows, rows[::-1]):
+        assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, make(some), "").collect()), key=str) == want
+
+
 def test_rows_of_one_id(spark, make):
     rows = [(1, "one two three four five six"), (1, "other words that are not like it"), (1, "one two three four five six"), (None, "one two three four five six"), (None, "a text of a row without id"), (None, "another one of these")]
     got = corpus_pipeline.drop_near_duplicates(spark, make(rows), "").collect()

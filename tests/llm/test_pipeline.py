@@ -94,3 +94,17 @@ def test_unique_documents_are_packed_whole(spark, docs):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_ids_and_labels_say_nothing_of(spark, docs):
+    """Null and repeated ids, null labels: clean rows of different texts stay through the filtering stages."""
+    own = [d for d in docs if d[0] < 60]
+    texts = [" ".join(x) for x in (WORDS["aa"] * 5, WORDS["bb"] * 5, WORDS["cc"] * 5, WORDS["aa"][::-1] * 6, WORDS["bb"][::-1] * 6)]
+    odd = [(None, texts[0], "aa", "a"), (None, texts[1], None, None), (7, texts[2], "cc", "b"), (7, texts[3], None, "b"), (8, texts[4], "cc", None), (8, texts[4], "cc", None)]
+    frame = spark.createDataFrame([*own, *((*r, len(r[1])) for r in odd)], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        frame = stage(spark, frame, "")
+        left = [(r.doc_id, r.text) for r in frame.collect()]
+        assert {(d[0], d[1]) for d in odd} <= set(left)
+    assert left.count((8, texts[4])) == 1
+    assert {r.lang for r in frame.filter("text is not null").collect()} == {"aa", "bb", "cc"}

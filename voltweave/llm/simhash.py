@@ -15,8 +15,8 @@ Groups give the links of their own components only, never all pairs.
 
 Defined cases: null, empty and white-space texts have fingerprint zero and link
 like any other; a null doc_id takes part, and a component of null ids only has a
-null id; repeated rows stay.  An empty table gives no rows.  Other columns are
-not read.
+null id; repeated rows stay; texts of any length are read whole.  An empty table
+gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -156,15 +156,3 @@ def near_duplicates(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:
     of = stage(labelled.join(least, "label").select("fp", "component_id"), "simhash-of")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_first(documents: DataFrame) -> DataFrame:
-    """One document of each component: the smallest doc_id; of rows that share it, any one.  Columns stay as they are.
-
-    A row without doc_id goes by a hash of its text instead.
-    """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc_id")
-    found = near_duplicates(documents.select(key, "text"))
-    keep = stage(found.select(F.col("component_id").alias("__vw_id")).distinct(), "simhash-kept")
-    kept = documents.withColumn("__vw_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    kept = kept.join(keep, F.col("__vw_key") == F.col("__vw_id"), "left_semi")
-    return kept.dropDuplicates(["__vw_key"]).drop("__vw_key")
