@@ -30,12 +30,19 @@ def test_archives_are_plain_zip_and_ranges_cover_them(make, spark):
     folder = new_path(spark, "m")
     assert media.write_archives(make([(i, f"text {i}" * i) for i in range(50)]).coalesce(1), folder) == 50
     files, path = media.filesystem(folder)
-    with files.open_input_file(f"{path}/part-000000-0000.zip") as f:
-        archive = zipfile.ZipFile(io.BytesIO(f.read()))
+    with files.open_input_file(f"{path}/part-000000-0000-m50.zip") as f:
+        data = f.read()
+    archive = zipfile.ZipFile(io.BytesIO(data))
     assert archive.testzip() is None and len(archive.namelist()) == 50
-    got = media.read_archives(spark, folder, membersPerPartition=7, batchBytes=300)
-    assert got.rdd.getNumPartitions() == 8
-    assert {r.doc_id: media.from_png(bytes(r.media))[0].rstrip(b"\0").decode() for r in got.collect()} == {i: f"text {i}" * i for i in range(50)}
+    members = len(data) - media.END - 50 * media.RECORD
+    for name in ("part-000000-0000-m50.zip", "other.zip"):  # the second says nothing of its members
+        got = media.read_archives(spark, folder, partitionBytes=members // 7, batchBytes=300)
+        assert got.rdd.getNumPartitions() == 8
+        assert {r.doc_id: media.from_png(bytes(r.media))[0].rstrip(b"\0").decode() for r in got.collect()} == {i: f"text {i}" * i for i in range(50)}
+        files.move(f"{path}/{name}", f"{path}/other.zip")
+    files.move(f"{path}/other.zip", f"{path}/other-m51.zip")
+    with pytest.raises(Exception):
+        media.read_archives(spark, folder).collect()
 
 
 def test_members_are_retried_alone():

@@ -36,17 +36,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def publish(uri: str, name: str, write) -> str:
-    """Write a file under a name of this attempt, then move it to its own name.
+def publish(uri: str, name, write) -> str:
+    """Write a file under a name of this attempt, then move it to its own name (a text, or a function that is called after writing).
 
     A retried or speculative task writes the same bytes, so whichever attempt
     moves last leaves a whole file.
     """
     files, folder = filesystem(uri)
     files.create_dir(folder, recursive=True)
-    temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    temporary = f"{folder}/.{uuid.uuid4().hex}"
     with files.open_output_stream(temporary) as out:
         write(out)
+    name = name() if callable(name) else name
     files.move(temporary, f"{folder}/{name}")
     return f"{uri.rstrip('/')}/{name}"
 

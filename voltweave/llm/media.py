@@ -3,21 +3,26 @@
 Writing: each payload becomes an 8-bit greyscale PNG, 64 samples wide, whose
 text chunk keeps the payload's unpadded size; PNGs are stored in plain ZIP
 archives (no member is compressed twice).  Member names have a fixed length, so
-the records of an archive's central directory have one too.
+the records of an archive's central directory have one too; how many there are is
+part of the archive's name.
 
 Reading: the data source plans its partitions as byte ranges of those archive
-directories, read from each archive's last 22 bytes, without listing members on
-the driver.  A task reads its range of the directory, then its members, and
-yields Arrow batches bounded in bytes.  A member that can't be read or fails its
-CRC is read again by its own offset, without repeating the others.
-
-Defined cases: null text counts as empty; every payload has at least 64 bytes;
-null doc_id stays null; repeated rows stay repeated; an empty table gives no rows.
+directories, from names and sizes in the folder's listing alone, a range for about
+``partitionbytes`` of members; no archive is opened on the driver unless its name says
+nothing.  A task reads its range of the directory, then its members, and yields Arrow
+batches bounded in bytes.  A member that can't be read or fails its CRC is read again
+by its own offset, without repeating the others.
+
+Defined cases: null text counts as empty; every payload has at least 64 bytes; a text
+of any length is one member (up to 4 GB, the format's bound); null doc_id stays null;
+rows of one doc_id, and repeated rows, are members of their own in any order; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import time
 import zlib
@@ -131,7 +136,8 @@ def write_archives(documents: DataFrame, folder: str) -> int:
                     held = next(docs, None)
                 archive.close()
 
-            publish(folder, f"part-{part:06d}-{files:04d}.zip", fill)
+            before = members
+            publish(folder, lambda: f"part-{part:06d}-{files:04d}-m{members - before}.zip", fill)  # noqa: B023
             files += 1
         yield pa.RecordBatch.from_arrays([pa.array([members], pa.int64())], ["n"])
 
@@ -148,7 +154,7 @@ class Range(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
-        self.members = int(options.get("membersperpartition", 4000))
+        self.bytes = int(options.get("partitionbytes", 64 << 20))
         self.batch = int(options.get("batchbytes", 8 << 20))
         self.tries = int(options.get("tries", 4))
 
@@ -160,15 +166,24 @@ class ArchiveReader(DataSourceReader):
         for info in sorted(files.get_file_info(FileSelector(folder, allow_not_found=True)), key=lambda i: i.path):
             if not info.base_name.endswith(".zip") or info.base_name.startswith("."):
                 continue
-            with files.open_input_file(info.path) as file:
-                file.seek(info.size - END)
-                magic, _, _, _, n, size, start, _ = struct.unpack("<IHHHHIIH", file.read(END))
-            if magic != 0x06054B50 or size != n * RECORD:
-                raise ValueError(f"{info.path}: the directory has records of other sizes")
-            step = self.members * RECORD
-            out += [Range(f"{self.folder.rstrip('/')}/{info.base_name}", at, min(at + step, start + size)) for at in range(start, start + size, step)]
+            n, start = self.directory(files, info)
+            step = max(1, n * self.bytes // max(1, start)) * RECORD
+            out += [Range(f"{self.folder.rstrip('/')}/{info.base_name}", at, min(at + step, start + n * RECORD)) for at in range(start, start + n * RECORD, step)]
         return out or [Range("", 0, 0)]
 
+    @staticmethod
+    def directory(files, info) -> tuple[int, int]:
+        """(records, start) of an archive's directory, from its name and size, or else from its end."""
+        if named := re.search(r"-m(\d+)\.zip$", info.base_name):
+            n = int(named[1])
+            return n, info.size - END - n * RECORD
+        with files.open_input_file(info.path) as file:
+            file.seek(info.size - END)
+            magic, _, _, _, n, size, start, _ = struct.unpack("<IHHHHIIH", file.read(END))
+        if magic != 0x06054B50 or size != n * RECORD:
+            raise ValueError(f"{info.path}: the directory has records of other sizes")
+        return n, start
+
     def member(self, open_file, file, offset: int, size: int, crc: int) -> tuple[bytes, object]:
         """One member's bytes by its offset; after a fault the file is opened anew and only this member read again."""
         for left in reversed(range(self.tries)):
@@ -200,6 +215,8 @@ class ArchiveReader(DataSourceReader):
         listed = file.read(partition.stop - partition.start)
         ids, offsets, data, held = [], [], [], 0
         for at in range(0, len(listed), RECORD):
+            if listed[at : at + 4] != b"PK\x01\x02":
+                raise ValueError(f"{partition.path}: no record of the directory at {partition.start + at}")
             crc, size = struct.unpack_from("<II", listed, at + 16)
             (offset,), name = struct.unpack_from("<I", listed, at + 42), listed[at + CENTRAL : at + RECORD].decode()
             member, file = self.member(opened, file, offset, size, crc)
