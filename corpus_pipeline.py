@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 kept; its result is written as Parquet and read again as the next one's docs.
+
+Defined cases, for all stages: the five columns of ``documents`` are kept and others
+dropped; a null id, source or label is a value like any other, and rows of one id
+are documents of their own where their texts differ; texts of any length are taken
+whole; an empty table gives an empty one.  A null text, or one without letters, goes
+in the first stage; rows equal in id and text become one in the third.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
+    """Documents whose language can't be told go; the others' column ``lang`` holds what was told, whatever it held before."""
     return language_id.keep_identified(docs.select(*COLUMNS))
 
 
