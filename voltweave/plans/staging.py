@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Least time between two collections.
+COLLECT_SECONDS = 5.0
+_collected = float("-inf")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,13 +47,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def drop(*staged: DataFrame | None) -> None:
     """Delete tables that stage() returned and that nothing reads any more; others are left alone.
 
-    A collection in the driver's JVM after it lets Spark's cleaner remove the shuffle files of the steps that are done.
+    A collection in the driver's JVM after it, every few seconds at most, lets Spark's cleaner remove the shuffle files of
+    the steps that are done.
     """
+    global _collected
     spark = None
     for df in staged:
         if path := getattr(df, "_staged_at", None):
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    if spark is not None:
+    if spark is not None and time.monotonic() - _collected > COLLECT_SECONDS:
         spark._jvm.System.gc()
+        _collected = time.monotonic()
