@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from ..plans.staging import drop, shared_dir, stage
 
-__all__ = ["WORD", "drop", "filesystem", "new_path", "publish", "rows", "shared_dir", "stage"]
+__all__ = ["WORD", "drop", "filesystem", "grow", "new_path", "publish", "rows", "shared_dir", "shrink", "stage"]
 
 #: Regular expression of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,3 +71,20 @@ def rows(batches: Iterator[pa.RecordBatch], text: int, most: int = 2_000_000) ->
             to = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
             yield tuple(c.to_pylist() for c in batch.slice(at, to - at).columns)
             at = to
+
+
+def shrink(numbers) -> bytes:
+    """Unsigned 64-bit numbers, bytes of one place together, compressed."""
+    import numpy as np
+    import zstandard
+
+    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def grow(data: bytes):
+    """The numbers of shrink()."""
+    import numpy as np
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, rows, stage
+from .common import drop, grow, rows, shrink, stage
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 CHUNK_BYTES = 6_000_000
@@ -105,20 +105,6 @@ def pair_keys(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return _mix(context * np.uint64(0xC2B2AE3D27D4EB4F) + tokens) >> np.uint64(64 - PAIR_BITS)
 
 
-def shrink(numbers: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers, bytes of one place together, compressed."""
-    import zstandard
-
-    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def grow(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)
-
-
 def shrink_sorted(keys: np.ndarray) -> bytes:
     return shrink(np.diff(keys, prepend=np.uint64(0)))
 

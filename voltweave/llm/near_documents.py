@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import drop, rows, stage
+from .common import drop, grow, rows, shrink, stage
 from .components import connected
 from .simhash import majority, shingle_hashes
 
 WIDTH = 5
-#: Buckets of the table of token counts that workers know (8 MB), and the rows that it is sent in.
-COUNT_BITS, PIECES = 20, 16
+#: Buckets of the table of token counts that workers know (8 MB), the pieces it is summed in, and the groups of tasks whose pieces are summed first.
+COUNT_BITS, PIECES, GROUPS = 20, 64, 1024
 #: Rows up to which tables of ids or tokens are broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -111,21 +111,28 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     piece = size // PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         total = np.zeros(size, np.int64)
         for (some,) in rows(batches, 0):
             found = np.concatenate([np.zeros(0, np.uint64), *map(token_set, some)])
             at, n = np.unique((found >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
             total[at] += n
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([total[k * piece : (k + 1) * piece].tobytes() for k in range(PIECES)], pa.binary())], ["k", "n"])
+        group = pa.array(np.full(PIECES, TaskContext.get().partitionId() % GROUPS, np.int32))
+        pieces = [shrink(total[k * piece : (k + 1) * piece]) for k in range(PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), group, pa.array(pieces, pa.binary())], ["k", "of", "n"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["n"])
-        return pa.table({"k": table["k"][:1], "n": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(piece, np.int64)
+        for x in table["n"]:
+            total += grow(x.as_py()).astype(np.int64)
+        return pa.table({"k": table["k"][:1], "of": table["of"][:1], "n": pa.array([shrink(total)], pa.binary())})
 
-    got = texts.select("text").mapInArrow(count, "k int, n binary").groupBy("k").applyInArrow(add, "k int, n binary").collect()
+    schema = "k int, of int, n binary"
+    got = texts.select("text").mapInArrow(count, schema).groupBy("k", "of").applyInArrow(add, schema).groupBy("k").applyInArrow(add, schema).collect()
     out = np.zeros(size, np.int64)
     for row in got:
-        out[row["k"] * piece : (row["k"] + 1) * piece] = np.frombuffer(row["n"], np.int64)
+        out[row["k"] * piece : (row["k"] + 1) * piece] = grow(row["n"])
     return out
 
 
