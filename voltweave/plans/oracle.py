@@ -10,6 +10,7 @@ import math
 import re
 
 from ..config import DEFAULTS, EARTH_KM, EV_SHARE, SOUTH_RING
+from ..functions import geo
 from ..operators.simulation import DAYS, RATE
 
 EV_2023 = EV_SHARE[DEFAULTS.year]
@@ -183,6 +184,18 @@ def rate(t: str) -> str:
     return f"({x[0]} + {x[1]} * (1 + sin({w} * {t})) + {x[2]} * (1 + sin(2 * {w} * {t})) + {x[3]} * (1 + cos({w} * {t})) + {x[4]} * (1 + cos(2 * {w} * {t})))"
 
 
+def projected(epsg: int) -> str:
+    """node_id, lat, lon, east, north of all nodes by the series of the transverse Mercator projection."""
+    e, radius, alpha, _ = geo._series()
+    meridian, scale, east, north = geo.ZONES[epsg]
+    d = lambda v: f"({v!r}::DOUBLE)"
+    y = " + ".join(["xi", *(f"{d(a)} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, a in enumerate(alpha, 1))])
+    x = " + ".join(["eta", *(f"{d(a)} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, a in enumerate(alpha, 1))])
+    isometric = f"SELECT *, sinh(atanh(sin(radians(lat))) - {d(e)} * atanh({d(e)} * sin(radians(lat)))) AS t, radians(lon - {d(meridian)}) AS d FROM nodes"
+    angles = f"SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM ({isometric})"
+    return f"SELECT node_id, lat, lon, ({x}) * {d(scale * radius)} + {d(east)} AS east, ({y}) * {d(scale * radius)} + {d(north)} AS north FROM ({angles})"
+
+
 TOP = RATE[0] + sum(abs(x) + x for x in RATE[1:])
 MOST = int(TOP * 24 + 12 * math.sqrt(TOP * 24) + 30)
 
@@ -242,6 +255,7 @@ FINAL: dict[str, str] = {
     "neighbor_stats": f"""SELECT f.station_id, coalesce(s.neighbors, 0) AS neighbors, s.mean_distance_km, s.mean_population_estimate, s.mean_traffic_volume, s.mean_free_flow_speed FROM features f LEFT JOIN
         (SELECT a.station_id, count(*) AS neighbors, round(avg({hav('a', 'b')}), 6) AS mean_distance_km, round(avg(b.population_estimate), 6) AS mean_population_estimate, round(avg(b.traffic_volume), 6) AS mean_traffic_volume, round(avg(b.free_flow_speed), 6) AS mean_free_flow_speed
         FROM stations a JOIN features b ON {hav('a', 'b')} > 0 AND {hav('a', 'b')} <= 25 GROUP BY a.station_id) s USING (station_id)""",
+    "projected_nodes": f"SELECT node_id, round(east, 3) AS east, round(north, 3) AS north, round(lat, 7) AS lat, round(lon, 7) AS lon FROM ({projected(2193)})",
     "polyline_segments": f"SELECT road_id, seq, a, b, {r6('length', 'time')} FROM segments",
     "road_graph": f"SELECT src, dst, {r6('length', 'time')} FROM road_edges",
     "road_nodes": f"SELECT node AS node_id, round(min_by(lat, (road_id, seq)), 6) AS lat, round(min_by(lon, (road_id, seq)), 6) AS lon, min_by(free_flow_speed, (road_id, seq)) AS free_flow_speed, min_by(traffic_volume, (road_id, seq)) AS traffic_volume FROM keyed GROUP BY node",
