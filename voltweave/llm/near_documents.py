@@ -42,8 +42,10 @@ from .simhash import majority, shingle_hashes
 WIDTH = 5
 #: Buckets of the table of token counts that workers know (8 MB), the pieces it is summed in, and the groups of tasks whose pieces are summed first.
 COUNT_BITS, PIECES, GROUPS = 20, 64, 1024
-#: Rows up to which tables of ids or tokens are broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which tables of ids are broadcast, and tables of tokens.
+BROADCAST_ROWS, BROADCAST_TOKENS = 2_000_000, 200_000
+#: Bytes of text that a worker takes at once, and tokens whose bits it unpacks at once.
+STRETCH, BITS_OF = 500_000, 20_000
 
 
 def token_set(text: str | None) -> np.ndarray:
@@ -89,13 +91,13 @@ def _sets(texts: DataFrame, counts: np.ndarray | None) -> DataFrame:
     shared = None if counts is None else texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, some in rows(batches, 1):
+        for keys, some in rows(batches, 1, STRETCH):
             sets = [token_set(t) for t in some]
             sizes = np.array([len(s) for s in sets], np.int64)
             shown, sketches, prints = sets, [None] * len(sets), np.zeros(len(sets), np.int64)
             if shared is not None:
                 shown, sketches = [prefix(s, shared.value) for s in sets], [sketch(s) for s in sets]
-                prints = majority(np.concatenate([np.zeros(0, np.uint64), *sets]), sizes).view(np.int64)
+                prints = majority(np.concatenate([np.zeros(0, np.uint64), *sets]), sizes, BITS_OF).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in shown])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *shown]).view(np.int64)
             columns = [pa.array(keys, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(prints), pa.array(sketches, pa.binary())]
@@ -114,7 +116,7 @@ def token_counts(texts: DataFrame) -> np.ndarray:
         from pyspark import TaskContext
 
         total = np.zeros(size, np.int64)
-        for (some,) in rows(batches, 0):
+        for (some,) in rows(batches, 0, STRETCH):
             found = np.concatenate([np.zeros(0, np.uint64), *map(token_set, some)])
             at, n = np.unique((found >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
             total[at] += n
@@ -136,8 +138,8 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _hint(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _hint(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,7 +180,7 @@ def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     pairs = _by_fingerprint(prints)
     tokens = prints.select("node", "n", F.explode("tokens").alias("token"))
     shared = stage(tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("token", "least"), "near-shared")
-    members = stage(tokens.join(_hint(shared), "token").select("token", "least", "node", "n").distinct(), "near-members")
+    members = stage(tokens.join(_hint(shared, BROADCAST_TOKENS), "token").select("token", "least", "node", "n").distinct(), "near-members")
     some = stage(members.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-nodes")
     nodes = stage(prints.select("node", "n", "sketch", "key").join(_hint(some), "node", "left_semi").dropDuplicates(["node"]), "near-sketches")
     found = _verified(pairs, nodes, texts)
@@ -194,7 +196,7 @@ def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     drop(members)
     # Of a token with two nodes the pair is compared already.
     apart = stage(labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y and c > 2").select("token"), "near-apart")
-    open_ = labelled.join(_hint(apart), "token")
+    open_ = labelled.join(_hint(apart, BROADCAST_TOKENS), "token")
     other = open_.withColumnsRenamed({"node": "l_node", "n": "l_n", "label": "l_label"})
     rest = open_.join(other, "token").filter("node > l_node and label <> l_label and least(n, l_n) * 5 >= greatest(n, l_n) * 4")
     found = found.unionByName(_verified(stage(rest.select(F.col("node").alias("a"), F.col("l_node").alias("b")).distinct(), "near-pairs"), nodes, texts))
