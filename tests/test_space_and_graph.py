@@ -228,6 +228,19 @@ def test_segments_and_stitching(spark):
     assert got == {(a, b) for a in at for b in at if a < b and math.dist(at[a], at[b]) <= 20 / 111 and (a, b) not in {(0, 1), (2, 3)}}
 
 
+def test_stitching_sends_no_copies_to_the_driver(spark):
+    # 40 nodes that lie dense in several cells and bands, two of one id, one without a place, one far off
+    at = points(36, 5, 1.5) | {36: (-41.0, 174.0), 37: (-41.0, 174.0), 38: (None, 174.0), 39: (60.0, -10.0)}
+    rows = [(i, *p) for i, p in at.items()] + [(37, -41.0, 174.0)]
+    nodes = spark.createDataFrame(rows, "node_id long, lat double, lon double")
+    have = [(i, i + 1) for i in range(0, 36, 2)] + [(5, 0), (3, None)]
+    got = graph.stitch_edges(nodes, spark.createDataFrame(have, "src long, dst long"))
+    near = lambda p, q: None not in (*p, *q) and math.dist(p, q) <= 20 / 111
+    want = sorted((i, j) for i, *p in rows for j, *q in rows if i < j and near(p, q) and (i, j) not in have)
+    assert sorted((r.src, r.dst) for r in got.collect()) == want and want.count((36, 37)) == 2
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parts(spark):
     roads = spark.sql("SELECT 1L AS road_id, 50D AS free_flow_speed, 2D AS traffic_volume, array(array(struct(1D AS lon, 2D AS lat), struct(3D AS lon, 4D AS lat)), array(struct(9D AS lon, 9D AS lat), struct(8D AS lon, 8D AS lat))) AS parts")
     assert graph.polyline_segments(graph.explode_parts(roads)).count() == 2  # no segment across the gap

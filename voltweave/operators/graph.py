@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Params
 from ..functions.geo import haversine, node_key
 from ..plans.staging import drop, stage
-from .spatial import closest_across, nearest_join, radius_join
+from .spatial import closest_across, nearest_join, self_radius_candidates
 
 #: Directed edges up to which the graph is sent to every worker (24 bytes each).
 LOCAL_EDGES = 2_000_000
@@ -166,15 +166,21 @@ def patch_components(nodes: DataFrame, edges: DataFrame, params: Params = DEFAUL
 
 
 def stitch_edges(nodes: DataFrame, edges: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Edges between nodes that are near in degrees (stitch_km / 111) and not yet adjacent."""
+    """Edges between nodes that are near in degrees (stitch_km / 111) and not yet adjacent.
+
+    A node brings the few it is adjacent to, so neither all pairs nor all edges are exchanged or broadcast.
+    """
     reach = params.stitch_km / 111
     here = nodes.select("node_id", "lat", "lon")
     other = here.select(F.col("node_id").alias("right_id"), "lat", "lon")
+    adjacent = both_ways(edges.select("src", "dst").filter("src < dst")).groupBy(F.col("src").alias("node_id")).agg(F.collect_set("dst").alias("adjacent"))
     # A degree of longitude is at most one of latitude in km, so this radius holds the circle in degrees.
-    pairs = radius_join(here, other, reach * 111.2).filter("node_id < right_id")
+    pairs = self_radius_candidates(here.join(adjacent.hint("merge"), "node_id", "left"), other, reach * 111.2)
     square = (F.col("lat") - F.col("right_lat")) ** 2 + (F.col("lon") - F.col("right_lon")) ** 2
-    close = pairs.filter(square <= reach * reach).select(F.col("node_id").alias("src"), F.col("right_id").alias("dst"), (F.col("distance_km") * params.stitch_factor).alias("length"))
-    return close.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("time", F.col("length") / params.stitch_speed)
+    close = pairs.filter(square <= reach * reach).filter("adjacent is null or not array_contains(adjacent, right_id)")
+    distance = haversine(F.col("lat"), F.col("lon"), F.col("right_lat"), F.col("right_lon"))
+    made = close.select(F.least("node_id", "right_id").alias("src"), F.greatest("node_id", "right_id").alias("dst"), (distance * params.stitch_factor).alias("length"))
+    return made.withColumn("time", F.col("length") / params.stitch_speed)
 
 
 PATHS = "origin long, node_id long, cost double, hops long, pred long"

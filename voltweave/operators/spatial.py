@@ -48,6 +48,24 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float) -> DataFram
     return pairs.withColumn("distance_km", haversine(F.col("lat"), F.col("lon"), F.col("right_lat"), F.col("right_lon"))).filter(F.col("distance_km") <= radius_km)
 
 
+def self_radius_candidates(points: DataFrame, other: DataFrame, radius_km: float) -> DataFrame:
+    """Pairs of rows of one table, each unordered pair once, among them all within a radius; the caller decides by the distance.
+
+    ``points``: node_id, lat, lon and more; ``other``: right_id, lat, lon of the same rows, the
+    last two come out as right_lat and right_lon.  A row meets those of its own cell (there the
+    smaller id comes first), of the next cell of its band and of three cells of the band above.
+    Spark's sizes don't count the copies, so these are never broadcast, whatever the threshold.
+    """
+    height = min(180.0, radius_km / DEGREE_KM * 1.000001)
+    steps = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    spread = other.withColumn("__s", F.explode(steps)).withColumn("__cy", _band(F.col("lat"), height) - F.col("__s.y"))
+    spread = spread.withColumn("__cx", _cell(F.col("lon"), F.col("__cy"), height) - F.col("__s.x")).withColumn("__own", (F.col("__s.y") == 0) & (F.col("__s.x") == 0))
+    spread = spread.drop("__s").withColumnsRenamed({"lat": "right_lat", "lon": "right_lon"})
+    here = points.withColumn("__cy", _band(F.col("lat"), height))
+    pairs = here.withColumn("__cx", _cell(F.col("lon"), F.col("__cy"), height)).join(spread.hint("merge"), ["__cy", "__cx"])
+    return pairs.filter("if(__own, node_id < right_id, node_id <> right_id)").drop("__cy", "__cx", "__own")
+
+
 def usual_spacing(points: DataFrame) -> float:
     """Radius in km of a circle that would hold about four of the points, were they spread evenly over their bounds."""
     n, low, high, west, east = points.agg(F.count(F.lit(1)), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
