@@ -57,6 +57,22 @@ def test_the_stage_against_all_pairs(spark, make, docs, monkeypatch, bits):
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("bits", [27, 15])
+def test_only_shared_tokens_are_exchanged_again(spark, make, docs, monkeypatch, bits):
+    monkeypatch.setattr(nd, "MAP_BITS", bits)
+    rng = np.random.default_rng(9)
+    lists = [[int(x) for x in rng.integers(-(1 << 63), 1 << 63, n)] for n in (0, 1, 400, 3000, 700, 0)]
+    prints = spark.createDataFrame([(i, len(x), x) for i, x in enumerate(lists)], "node long, n int, tokens array<long>").coalesce(1)
+    shared = sorted({t for x in lists for t in x[::20]})
+    got = nd._sifted(prints, spark.createDataFrame([(t, 0) for t in shared], "token long, least long")).collect()
+    pairs = {(r.node, r.n, r.token) for r in got}
+    want = {(i, len(x), t) for i, x in enumerate(lists) for t in x if t in set(shared)}
+    assert want <= pairs <= {(i, len(x), t) for i, x in enumerate(lists) for t in x}
+    assert len(got) == len(pairs) < len(want) * 1.8
+    monkeypatch.setattr(nd, "BROADCAST_TOKENS", 0)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, make(docs), "").collect()) == kept(docs)
+
+
 def test_counts_are_of_all_texts(make, docs):
     got = nd.token_counts(make(docs).select("text"))
     tokens = np.concatenate([nd.token_set(t) for _, t in docs])

@@ -44,6 +44,8 @@ WIDTH = 5
 COUNT_BITS, PIECES, GROUPS = 20, 64, 1024
 #: Rows up to which tables of ids are broadcast, and tables of tokens.
 BROADCAST_ROWS, BROADCAST_TOKENS = 2_000_000, 200_000
+#: Bits of the map of shared tokens that workers know: at least so many for each of them, up to 2**MAP_BITS (16 MB); and bits of one piece of it.
+BITS_EACH, MAP_BITS, PIECE_BITS = 32, 27, 15
 #: Bytes of text that a worker takes at once, and tokens whose bits it unpacks at once.
 STRETCH, BITS_OF = 500_000, 20_000
 
@@ -142,6 +144,35 @@ def _hint(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _sifted(prints: DataFrame, shared: DataFrame) -> DataFrame:
+    """node, n and token of the prefixes, without tokens whose bit no token of ``shared`` sets; all that are in ``shared`` stay.
+
+    So few of the others are exchanged; the map's size has a bound, whatever the number of tokens.
+    """
+    bits = min(MAP_BITS, max(PIECE_BITS, (shared.count() * BITS_EACH).bit_length()))
+    # The lower bits: prefixes and shared tokens crowd where the counts by upper bits are small.
+    at = shared.select(F.col("token").bitwiseAND(F.lit((1 << bits) - 1)).alias("at")).select(F.shiftright("at", PIECE_BITS).alias("k"), F.col("at").bitwiseAND(F.lit((1 << PIECE_BITS) - 1)).alias("bit"))
+    # Dealt out by piece first, so that no task sends pieces of its own.
+    pieces = at.repartition("k").groupBy("k").agg(F.bitmap_construct_agg("bit").alias("m")).collect()
+    size = 1 << PIECE_BITS - 3
+    total = np.zeros(1 << bits - 3, np.uint8)
+    for k, m in pieces:
+        total[k * size : (k + 1) * size] = np.frombuffer(m, np.uint8)
+    known = prints.sparkSession.sparkContext.broadcast(total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten()
+            place = np.asarray(flat) & ((1 << bits) - 1)
+            keep = (known.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            before = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+            ends = before[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(keep)))], ["node", "n", "tokens"])
+
+    return prints.select("node", "n", "tokens").mapInArrow(run, "node long, n int, tokens array<long>").select("node", "n", F.explode("tokens").alias("token"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The staged pairs (a, b) whose sets have a similarity of 0.8 or more.  nodes: node, n, sketch, key (of a text)."""
 
@@ -180,7 +211,9 @@ def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     pairs = _by_fingerprint(prints)
     tokens = prints.select("node", "n", F.explode("tokens").alias("token"))
     shared = stage(tokens.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("token", "least"), "near-shared")
-    members = stage(tokens.join(_hint(shared, BROADCAST_TOKENS), "token").select("token", "least", "node", "n").distinct(), "near-members")
+    few = shared.count() <= BROADCAST_TOKENS
+    held = tokens.join(F.broadcast(shared), "token") if few else _sifted(prints, shared).join(shared, "token")
+    members = stage(held.select("token", "least", "node", "n").distinct(), "near-members")
     some = stage(members.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-nodes")
     nodes = stage(prints.select("node", "n", "sketch", "key").join(_hint(some), "node", "left_semi").dropDuplicates(["node"]), "near-sketches")
     found = _verified(pairs, nodes, texts)
