@@ -37,6 +37,8 @@ from .common import rows
 from .tokenize import default_tokenizer, encoder
 
 SIZE = 2048
+#: Bytes of text whose words a worker takes apart at once.
+STRETCH = 500_000
 GROUP = 32
 #: Share of a group's tokens in pieces of a 64th of a window.
 FINE = 0.05
@@ -175,7 +177,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, size: int = SIZE, e
             out, packer.out = packer.out, []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * len(schema))], schema=schema)
 
-        for docs, texts in rows(batches, 1):
+        for docs, texts in rows(batches, 1, STRETCH):
             ids, counts = encoder(path, most_words).encode(texts, end)
             at = 0
             for doc, n in zip(docs, counts.tolist()):
