@@ -8,6 +8,8 @@ dropped; a null id, source or label is a value like any other, and rows of one i
 are documents of their own where their texts differ; texts of any length are taken
 whole; an empty table gives an empty one.  A null text, or one without letters, goes
 in the first stage; rows equal in id and text become one in the third.
+
+Stages that run Python first let the executors give back the memory of the stage before.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voltweave.llm import language_id, line_dedup, mixing, near_documents, packing
-from voltweave.llm.common import stage
+from voltweave.llm.common import settle, stage
 
 #: Words that a Python worker keeps with their ids; the stages share the workers' memory.
 WORDS = 150_000
@@ -24,6 +26,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go; the others' column ``lang`` holds what was told, whatever it held before."""
+    settle(spark)
     return language_id.keep_identified(docs.select(*COLUMNS))
 
 
@@ -34,6 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) one document stays."""
+    settle(spark)
     return near_documents.keep_first(docs.select(*COLUMNS))
 
 
@@ -44,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of token ids."""
+    settle(spark)
     return packing.pack(docs, most_words=WORDS)
 
 

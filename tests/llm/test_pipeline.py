@@ -112,3 +112,39 @@ def test_rows_that_ids_and_labels_say_nothing_of(spark, docs):
         assert {(d[0], d[1]) for d in odd} <= set(left)
     assert left.count((8, texts[4])) == 1
     assert {r.lang for r in frame.filter("text is not null").collect()} == {"aa", "bb", "cc"}
+
+
+def test_executors_give_back_memory(spark, make, monkeypatch):
+    import gc
+
+    from voltweave.llm import common
+
+    runtime, arrays = spark._jvm.java.lang.Runtime.getRuntime(), spark.sparkContext._gateway
+    garbage = arrays.new_array(spark._jvm.byte, 150_000_000)
+    before = runtime.totalMemory() - runtime.freeMemory()
+    del garbage
+    gc.collect()
+    common.settle(spark)
+    assert runtime.totalMemory() - runtime.freeMemory() < before - 100_000_000
+    # Stages that run Python do so first.
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "settle", lambda s: calls.append(s))
+    docs = make([(1, "some words of a text that is here", "en", "a")])
+    for name, function in corpus_pipeline.STAGES:
+        calls.clear()
+        function(spark, docs, "")
+        assert bool(calls) == (name in ("language id", "simhash near-dedup", "packing")), name
+
+
+def test_language_id_holds_little_at_once():
+    import tracemalloc
+
+    from voltweave.llm import language_id
+
+    text = "some plain words of no great length " * (language_id.BATCH_BYTES // 36)
+    language_id.grams(["warm"], language_id.BUCKETS)
+    tracemalloc.start()
+    language_id.grams([text], language_id.BUCKETS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.staging import drop, shared_dir, stage
 
-__all__ = ["WORD", "drop", "filesystem", "grow", "new_path", "publish", "rows", "shared_dir", "shrink", "stage"]
+__all__ = ["WORD", "drop", "filesystem", "grow", "new_path", "publish", "rows", "settle", "shared_dir", "shrink", "stage"]
 
 #: Regular expression of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +26,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect and give back what the steps before took, before Python workers need it.
+
+    A heap that joins have filled stays at its largest size otherwise, and the workers' memory comes on top.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI or a plain path."""
     from pyarrow import fs

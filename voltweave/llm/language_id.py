@@ -35,7 +35,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 16
 MATRIX_BYTES = 64 << 20
 #: Bytes of text that are scored at once; the n-grams of a stretch take about a hundred times that.
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 250_000
 #: Labelled rows that are learned from, of each language at most (in expectation); one in TUNING of them sets the temperature.
 TRAIN_DOCS, TUNING = 20_000, 10
 TEMPERATURES = np.geomspace(0.02, 5, 25)
