@@ -129,3 +129,33 @@ def test_repeated_words_and_the_prefix(make):
     want = brute(rows)
     got = {r.doc_id: r.removed for r in ld.LineDedup(make(rows)).report().collect()}
     assert got == {d: ",".join(map(str, w)) for d, w in want.items()}
+
+
+def test_few_lines_are_candidates(make, monkeypatch):
+    # Lines that share a phrase only are no candidates; those that match are.
+    rng = np.random.default_rng(7)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    phrases = [own(5) for _ in range(60)]
+    lines = [" ".join([*own(12), *phrases[i % 60], *own(13)]) for i in range(240)]
+    rows = list(enumerate([*lines, *(x + " end" for x in lines[:10]), "a b c d e", "z a b c d e", "a b c d e f g h i", "b c d e f g h i"]))
+    sizes, real = {}, ld.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        sizes.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(ld, "stage", stage)
+    got = {r.doc_id: r.removed for r in ld.LineDedup(make(rows)).report().collect()}
+    assert got == {d: ",".join(map(str, w)) for d, w in brute(rows).items()}
+    assert 20 <= sizes["line-sets"] <= 30
+
+
+def test_prefix_holds_the_smallest_tokens(make):
+    rng = np.random.default_rng(4)
+    lines = [" ".join(rng.choice(["a", "b", "c", "d", "e"], n)) for n in range(5, 70)] + ["a " * 40 + "b", "a b " * 30]
+    table = make(list(enumerate(lines))).selectExpr("doc_id", "split(trim(text), ' ') w").withColumn("h", ld._hashes(ld.F.col("w")))
+    for r in ld._tokens(ld._prefix(table)).collect():
+        whole, n = sorted(r.tokens), len(r.tokens)
+        least = n - -(-4 * n // 5) + min(ld.SHARED, -(-4 * n // 5))
+        assert len(set(r.prefix)) == len(r.prefix) >= least and sorted(r.prefix) == whole[: len(r.prefix)]

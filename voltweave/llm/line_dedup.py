@@ -9,16 +9,16 @@ number in the document.  The layout of what is left stays.
 1. Equal lines are one class, held by its first line.
 2. A first prefix filter orders tokens by the hash of their first word, then by their
    own (a token's upper bits are of the one, its lower bits of the other): two sets that
-   match share one of their first n - ceil(0.8 n) + 1 tokens.  A
-   line's words are hashed and sorted, and only the shingles that begin with the
-   smallest of them are built.  They meet in one sorted exchange, and only lines that
-   share one stay; they are the candidates.
+   match share SHARED of their first n - ceil(0.8 n) + SHARED tokens (of fewer tokens
+   in all, all).  A line's words are hashed and sorted, and only the shingles that begin with the
+   smallest of them are built.  They meet in one sorted exchange, and lines with fewer than
+   SHARED tokens that others have go.  The rest are the candidates.
 3. Among the candidates tokens are counted, and the rare ones decide: in the order by
    rarity those that no other candidate has come first.  A line that has more than
    a fifth of such tokens can't match.  Of a pair, the first shared token stands
    behind them on either side (positional filter), and lengths must fit.
-4. Each class is first compared with the first class that has the token, what is
-   not settled with ever larger stretches of those that follow.  A large group of
+4. Each class is first compared with the first class that has the token, before tokens
+   are counted; what is not settled with ever larger stretches of those that follow.  A large group of
    near copies is settled at the cost of a few pairs each, and classes that settle
    nowhere meet every earlier class of the token: nothing is missed.  Within the join
    parity sketches drop pairs whose sets differ too much.
@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import drop, stage
 
 WIDTH = 5
+#: Tokens of their prefixes that two lines which match share at least.  Up to 4: sets of as few tokens match only if they are equal.
+SHARED = 3
 #: Documents with candidate lines up to which their ids are broadcast (about 16 bytes each).
 BROADCAST_IDS = 2_000_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -79,31 +81,40 @@ def _joined(first: Column, own: Column) -> Column:
     return first.bitwiseAND(F.lit(~low)).bitwiseOR(own.bitwiseAND(F.lit(low)))
 
 
+def _hashes(words: Column) -> Column:
+    """The hash of each word, null for lines of fewer than five."""
+    return F.when(F.size(words) >= WIDTH, F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def _token(i: Column) -> Column:
+    """The shingle that begins with word ``i`` of the column ``h`` of hashes."""
+    h = F.col("h")
+    return _joined(h[i], F.xxhash64(*[h[i + k] if k else h[i] for k in range(WIDTH)]))
+
+
 def _tokens(lines: DataFrame) -> DataFrame:
-    """Adds the set ``tokens`` of lines of at least five words; each step is a column of its own, so it is computed once."""
-    hashed = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    token = lambda i: _joined(F.get("h", i), F.xxhash64(*[F.get("h", i + k) for k in range(WIDTH)]))
-    return hashed.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - WIDTH), token)))
+    """Adds the set ``tokens`` of lines with hashes ``h``; each step is a column of its own, so it is computed once."""
+    return lines.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - WIDTH), _token)))
 
 
 def _prefix(lines: DataFrame) -> DataFrame:
-    """Adds ``prefix`` to lines of at least five words: their first n - ceil(0.8 n) + 1 tokens.
+    """Adds ``prefix`` to lines with hashes ``h``: their first n - ceil(0.8 n) + SHARED tokens, or all.
 
-    Built are all shingles that begin with one of the smallest different first words,
-    as many of these as tokens are needed, or all shingles where there are not as many.
+    Built are the shingles that begin with the smallest first words, as many as tokens
+    are needed, and all that begin with the last of these words; all shingles of the
+    line where repeated ones leave too few.
     n is counted with repeats, which makes the prefix longer and never shorter.
     """
-    n = F.size("words") - (WIDTH - 1)
-    places = F.transform(F.slice("words", F.lit(1), n), lambda w, i: _joined(F.xxhash64(w), i.cast("long")))
-    out = lines.withColumn("need", (n - F.ceil(n * 4 / 5 - 1e-9) + 1).cast("int")).withColumn("places", F.sort_array(places))
-    few, some = F.slice("places", F.lit(1), F.col("need") + 1), F.slice("places", F.lit(1), F.col("need") * 2 + 2)
-    out = out.withColumn("firsts", F.array_distinct(F.transform(few, _upper)))
-    # Where the first words that are needed differ, and from the next, the places are those needed.
-    out = out.withColumn("stop", F.when(F.size("firsts") <= F.col("need"), F.coalesce(F.get(F.array_distinct(F.transform(some, _upper)), F.col("need")), F.lit(1 << 63 - OWN_BITS))))
-    out = out.withColumn("taken", F.when(F.col("stop").isNull(), F.slice("places", F.lit(1), F.col("need"))).when(F.col("stop") == 1 << 63 - OWN_BITS, F.col("places")).otherwise(F.filter(some, lambda x: _upper(x) < F.col("stop"))))
-    word = lambda x, k: F.xxhash64(F.get("words", x.bitwiseAND(F.lit((1 << OWN_BITS) - 1)).cast("int") + k))
-    tokens = F.array_distinct(F.transform("taken", lambda x: _joined(x, F.xxhash64(*[word(x, k) for k in range(WIDTH)]))))
-    return out.withColumn("built", tokens).withColumn("prefix", F.when(F.size("built") <= F.col("need"), F.col("built")).otherwise(F.slice(F.sort_array("built"), F.lit(1), F.col("need"))))
+    n = F.size("h") - (WIDTH - 1)
+    places = F.transform(F.slice("h", F.lit(1), n), lambda x, i: _joined(x, i.cast("long")))
+    least = F.ceil(n * 4 / 5 - 1e-9)
+    out = lines.withColumn("need", (n - least + F.least(least, F.lit(SHARED))).cast("int")).withColumn("places", F.sort_array(places))
+    last, following = (_upper(F.get("places", F.col("need") - k)) for k in (1, 0))
+    out = out.withColumn("taken", F.when(last == following, F.filter("places", lambda x: _upper(x) <= last)).otherwise(F.slice("places", F.lit(1), F.col("need"))))
+    tokens = lambda places: F.array_distinct(F.transform(F.transform(places, lambda x: x.bitwiseAND(F.lit((1 << OWN_BITS) - 1))), _token))
+    out = out.withColumn("first", tokens(F.col("taken")))
+    out = out.withColumn("built", F.when((F.size("first") < F.col("need")) & (F.size("taken") < F.size("places")), tokens(F.col("places"))).otherwise(F.col("first")))
+    return out.withColumn("prefix", F.when(F.size("built") <= F.col("need"), F.col("built")).otherwise(F.slice(F.sort_array("built"), F.lit(1), F.col("need"))))
 
 
 def _class(words: Column) -> list[Column]:
@@ -141,9 +152,8 @@ class LineDedup:
         self.repeated, self.n_repeated = repeated, repeated.count()
         split = _words(_lines(self._keyed(self.documents, "doc", "row")))
         sized = split.withColumn("words", F.when(F.get("words", F.lit(0)) != "", F.col("words")))  # an empty line has no words
-        long = sized.withColumn("long", F.coalesce(F.size("words") >= WIDTH, F.lit(False)))
-        prefixed = _prefix(long.withColumn("all", F.col("words")).withColumn("words", F.when(F.col("long"), F.col("words"))))
-        built = stage(prefixed.select(*PLACE, *_class(F.col("all")), "prefix", F.col("all").isNotNull().alias("used")), "lines-built")
+        hashed = sized.select(*PLACE, *_class(F.col("words")), F.col("words").isNotNull().alias("used"), _hashes(F.col("words")).alias("h"))
+        built = stage(_prefix(hashed).select(*PLACE, "k1", "k2", "prefix", "used"), "lines-built")
         members = built.filter("used").groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row", "prefix")).alias("f"), F.count(F.lit(1)).alias("members"))
         classes = stage(members.select("k1", "k2", "members", "f.*"), "line-classes")
         self.lines = stage(built.drop("prefix"), "lines")
@@ -167,11 +177,16 @@ class LineDedup:
         return keyed.withColumn(row, F.when(F.col("__vw_repeated").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("__vw_repeated")
 
     def _later(self, classes: DataFrame) -> DataFrame:
-        """token, place, rank, l_place: the classes' first lines that hold a token of their prefix after another; l_place is the first of all."""
-        spread = classes.select(F.explode("prefix").alias("token"), *PLACE)
-        order = Window.partitionBy("token").orderBy("doc", "line", "row")
-        ranked = spread.select("*", F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in PLACE])
-        return stage(ranked.filter("rank > 1"), "line-later")
+        """token, place, rank, l_place: the candidates that hold a token of their prefix after another; l_place is the first of all."""
+        of_token, of_line = Window.partitionBy("token"), Window.partitionBy(*PLACE)
+        many = lambda rows, of, least: rows.withColumn("c", F.count(F.lit(1)).over(of)).filter(F.col("c") >= least).drop("c")
+        spread = classes.select(F.explode("prefix").alias("token"), *PLACE, F.least(F.size("prefix"), F.lit(SHARED)).alias("least"))
+        shared = stage(many(spread, of_token, 2), "line-tokens")
+        order = of_token.orderBy("doc", "line", "row")
+        ranked = many(shared, of_line, F.col("least")).select("token", *PLACE, F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in PLACE])
+        out = stage(ranked.filter("rank > 1"), "line-later")
+        drop(shared)
+        return out
 
     def _matches(self, later: DataFrame) -> DataFrame:
         """(doc, row, line) of the first lines of classes that match an earlier class."""
@@ -183,8 +198,8 @@ class LineDedup:
         pairs = later.filter("doc <> l_doc or line <> l_line").select(*both).distinct()
         done = self._verified(stage(self._near(pairs, own).select(*both), "line-near"), sets)
         settled = [done]
-        # The others, where a token has more than two classes.
-        many = later.filter("rank > 2").select("token").distinct()
+        # The others, where a token has more than two classes, of which one is open.
+        many = later.filter("rank > 2").join(_few(done), PLACE, "left_anti").select("token").distinct()
         shared = later.join(many, "token", "left_semi")
         shared = stage(shared.select("token", *PLACE, "rank").unionByName(shared.select("token", *first, F.lit(1).alias("rank")).distinct()), "line-many")
         drop(later)
@@ -239,7 +254,7 @@ class LineDedup:
         wanted_lines = F.transform("lines", lambda k: F.struct(k.alias("line"), F.get("split", k).alias("words")))
         lines = split.select("doc", "row", F.explode(wanted_lines).alias("l")).select("doc", "row", "l.*").filter("words is not null")
         parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-        whole = _tokens(_words(lines).filter(F.size("words") >= WIDTH))
+        whole = _tokens(_words(lines).filter(F.size("words") >= WIDTH).withColumn("h", _hashes(F.col("words"))))
         out = stage(whole.select(F.monotonically_increasing_id().alias("sid"), *PLACE, F.size("tokens").alias("n"), "tokens", parity.alias("parity")), "line-sets")
         drop(wanted)
         return out
