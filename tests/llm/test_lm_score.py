@@ -22,6 +22,24 @@ def test_token_keys_tell_words_apart(texts):
     assert len(set(keys.tolist())) == len(set(flat)) == len(set(zip(keys.tolist(), flat)))
 
 
+def test_a_workers_tables_stay_small(monkeypatch):
+    # Tables of a stretch's size stay with a worker, whatever is hashed; the keys are those of each text alone.
+    monkeypatch.setattr(lm, "_powers", [])
+    texts = [f"Some words {i} " * 200 for i in range(1500)] + [None, "one long text " * 60_000, "", "the last"]
+    keys, counts = lm.token_keys(texts)
+    assert sum(x.nbytes for x in lm._powers) <= 32 * lm.HASH_BYTES
+    alone = [lm.token_keys([t]) for t in texts]
+    assert np.array_equal(keys, np.concatenate([k for k, _ in alone])) and np.array_equal(counts, np.concatenate([n for _, n in alone]))
+
+
+def test_heaps_settle_before_scoring(make, monkeypatch):
+    steps, learn = [], lm.learn
+    monkeypatch.setattr(lm, "settle", lambda spark: steps.append("settle"))
+    monkeypatch.setattr(lm, "learn", lambda *a: (steps.append("learn"), learn(*a))[1])
+    lm.score(make(corpus()))
+    assert steps == ["settle", "learn", "settle"]
+
+
 def test_numbers_round_trip():
     x = np.sort(np.random.default_rng(1).integers(0, 2**62, 1000, dtype=np.uint64))
     assert np.array_equal(lm.grow_sorted(lm.shrink_sorted(x)), x) and len(lm.grow(lm.shrink(x[:0]))) == 0

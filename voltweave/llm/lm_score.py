@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, grow, rows, shrink, stage
+from .common import drop, grow, rows, settle, shrink, stage
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 CHUNK_BYTES = 6_000_000
+#: Text that is hashed at once, and the powers that are kept for it: 16 bytes each, for as long as a Python worker lives.
+HASH_BYTES = 250_000
 #: Tokens of the corpus for each part of the key range.
 PART_TOKENS = 1_500_000
 WORD_BITS, PAIR_BITS = 62, 56
@@ -63,11 +65,14 @@ _BYTES = _table()
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, n.bit_length())
-        _powers[:] = [np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n at least; those for a text beyond HASH_BYTES are not kept."""
+    made = lambda size: [np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, _INVERSE)]
+    if n > 2 * HASH_BYTES:
+        return made(n)
+    if not _powers:
+        _powers[:] = made(2 * HASH_BYTES)
+    return _powers
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -79,8 +84,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def token_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each token, tokens of each text); every text ends with END."""
-    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    """(key of each token, tokens of each text); every text ends with END.
+
+    Taken in stretches of about HASH_BYTES, a longer text alone: each byte costs some 40 bytes on the way.
+    """
+    out, some, size = [], [], 0
+    for t in texts:
+        part = (t or "").encode("utf-8", "surrogatepass").lower()
+        if some and size + len(part) + 1 > HASH_BYTES:
+            out.append(_stretch_keys(some))
+            some, size = [], 0
+        some.append(part)
+        size += len(part) + 1
+    out.append(_stretch_keys(some))
+    return np.concatenate([k for k, _ in out]), np.concatenate([n for _, n in out])
+
+
+def _stretch_keys(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     up, down = _powers_to(len(data) + 1)
     space = _SPACE[data]
@@ -162,6 +182,13 @@ class Chunk:
         self.pairs, self.pair_at = np.unique(pair_keys(self.words[self.at], self.counts), return_inverse=True)
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of chunks one at a time: a batch holds all of a task's, several megabytes each."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _bounds(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
     edges = np.array([(p << bits) // parts for p in range(parts)], np.uint64)
     return np.append(np.searchsorted(keys, edges), len(keys))
@@ -175,16 +202,15 @@ def replies(stored: DataFrame, parts: int) -> DataFrame:
     """For each chunk and part the training counts of the chunk's keys; and rows with chunk -1: n tokens, v words of a part."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row)
-                train = np.repeat(~c.held, c.counts)
-                word_n = np.bincount(c.at[train], minlength=len(c.words))
-                pair_n = np.bincount(c.pair_at[train], minlength=len(c.pairs))
-                w, p = _bounds(c.words, WORD_BITS, parts), _bounds(c.pairs, PAIR_BITS, parts)
-                out = [(k, row["chunk"], shrink_sorted(c.words[w[k] : w[k + 1]]), shrink(word_n[w[k] : w[k + 1]]), shrink_sorted(c.pairs[p[k] : p[k + 1]]), shrink(pair_n[p[k] : p[k + 1]])) for k in range(parts)]
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], [c.split()[0] for c in REQUEST.split(", ")])
+        for row in _each(batches):
+            c = Chunk(row)
+            train = np.repeat(~c.held, c.counts)
+            word_n = np.bincount(c.at[train], minlength=len(c.words))
+            pair_n = np.bincount(c.pair_at[train], minlength=len(c.pairs))
+            w, p = _bounds(c.words, WORD_BITS, parts), _bounds(c.pairs, PAIR_BITS, parts)
+            out = [(k, row["chunk"], shrink_sorted(c.words[w[k] : w[k + 1]]), shrink(word_n[w[k] : w[k + 1]]), shrink_sorted(c.pairs[p[k] : p[k + 1]]), shrink(pair_n[p[k] : p[k + 1]])) for k in range(parts)]
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], [c.split()[0] for c in REQUEST.split(", ")])
 
     def total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         different, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -253,6 +279,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def score(documents: DataFrame) -> DataFrame:
+    spark = documents.sparkSession
     stored = stage(chunks(documents), "lm-chunks")
     size = stored.agg(F.sum("tokens"), F.sum("train_docs")).first()
     tokens, train_docs = size[0] or 0, size[1] or 0
@@ -263,36 +290,36 @@ def score(documents: DataFrame) -> DataFrame:
     unseen = 1 / (v + 1)
 
     def held_out_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Counted(row, train_docs)
-                found = np.stack([c.cc - 1, c.c2 - 1, c.c1 - 1], axis=1)  # this occurrence is deleted
-                found, times = np.unique(found, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (bucket(found[:, 0]), *found.T, times)], ["b", "cc", "c2", "c1", "times"])
+        for row in _each(batches):
+            c = Counted(row, train_docs)
+            found = np.stack([c.cc - 1, c.c2 - 1, c.c1 - 1], axis=1)  # this occurrence is deleted
+            found, times = np.unique(found, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (bucket(found[:, 0]), *found.T, times)], ["b", "cc", "c2", "c1", "times"])
 
     tuning = stored.filter("tuning").join(got, "chunk").mapInArrow(held_out_counts, "b long, cc long, c2 long, c1 long, times long")
+    settle(spark)
     alike = stage(tuning.groupBy(F.col("b").cast("int").alias("b"), "cc", "c2", "c1").agg(F.sum("times").alias("times")), "lm-tuning")
     weights = learn(alike, n, unseen)
     drop(alike)
+    settle(spark)  # the rounds have filled the heaps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Counted(row, train_docs)
-                w = weights[bucket(c.cc)]
-                p = w[:, 0] * c.c2 / np.maximum(c.cc, 1) + w[:, 1] * c.c1 / max(n, 1) + w[:, 2] * unseen
-                first = np.cumsum(c.chunk.counts) - c.chunk.counts
-                add = lambda x: np.add.reduceat(x, first)
-                base = np.log10((c.c1 + 1) / (n + v + 1))
-                cols = [
-                    pa.array(c.chunk.docs, pa.int64(), mask=c.chunk.no_id),
-                    pa.array(c.chunk.held),
-                    pa.array(c.chunk.counts),
-                    pa.array(add((c.c1 > 0).astype(np.int64))),
-                    pa.array(np.full(len(first), n, np.int64)),
-                    pa.array(add(base)),
-                    pa.array(add(np.log10(p))),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORES.split(", ")])
+        for row in _each(batches):
+            c = Counted(row, train_docs)
+            w = weights[bucket(c.cc)]
+            p = w[:, 0] * c.c2 / np.maximum(c.cc, 1) + w[:, 1] * c.c1 / max(n, 1) + w[:, 2] * unseen
+            first = np.cumsum(c.chunk.counts) - c.chunk.counts
+            add = lambda x: np.add.reduceat(x, first)
+            base = np.log10((c.c1 + 1) / (n + v + 1))
+            cols = [
+                pa.array(c.chunk.docs, pa.int64(), mask=c.chunk.no_id),
+                pa.array(c.chunk.held),
+                pa.array(c.chunk.counts),
+                pa.array(add((c.c1 > 0).astype(np.int64))),
+                pa.array(np.full(len(first), n, np.int64)),
+                pa.array(add(base)),
+                pa.array(add(np.log10(p))),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORES.split(", ")])
 
     return stored.join(got, "chunk").mapInArrow(run, SCORES)
