@@ -159,3 +159,33 @@ def test_prefix_holds_the_smallest_tokens(make):
         whole, n = sorted(r.tokens), len(r.tokens)
         least = n - -(-4 * n // 5) + min(ld.SHARED, -(-4 * n // 5))
         assert len(set(r.prefix)) == len(r.prefix) >= least and sorted(r.prefix) == whole[: len(r.prefix)]
+
+
+def test_rounds_read_the_sets_of_open_lines_only(make, monkeypatch):
+    # Lines put together from phrases of their own and common ones: most are no candidates of the rounds any more.
+    rng = np.random.default_rng(9)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    phrases = [own(22) for _ in range(6)]
+    lines = [" ".join([*own(12), *phrases[i % 6], *own(6)]) for i in range(60)]
+    pool = [own(14) for _ in range(5)]
+    lines += [" ".join(sum((pool[k] for k in rng.permutation(5)[:3]), [])) for _ in range(40)]
+    sizes, real = {}, ld.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        sizes.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(ld, "stage", stage)
+    rows = list(enumerate(lines))
+    got = {r.doc_id: r.removed for r in ld.LineDedup(make(rows)).report().collect()}
+    assert got == {d: ",".join(map(str, w)) for d, w in brute(rows).items()}
+    assert 0 < sizes["line-open-sets"] <= sizes["line-sets"] / 2
+
+
+def test_a_line_keeps_hashes_and_no_words(make):
+    # Classes are told by the hashes of the words, so the words themselves are not carried from step to step.
+    rows = [(1, "Some words\nsome  words \nsome words more\n\n \t"), (2, None), (3, "")]
+    built = ld._words(ld._lines(make(rows).selectExpr("doc_id doc", "0L row", "text")))
+    keys = [(r.k1, r.k2) for r in built.select("doc", "line", *ld._class(ld._word_hashes(ld.F.col("words")))).orderBy("doc", "line").collect()]
+    assert keys[0] == keys[1] != keys[2] and keys[3] == keys[4] == keys[6] != keys[5]

@@ -77,13 +77,26 @@ def _upper(x: Column) -> Column:
 
 def _joined(first: Column, own: Column) -> Column:
     """The upper bits of ``first`` with the lower bits of ``own``."""
-    low = (1 << OWN_BITS) - 1
-    return first.bitwiseAND(F.lit(~low)).bitwiseOR(own.bitwiseAND(F.lit(low)))
+    return _placed(first, own.bitwiseAND(F.lit((1 << OWN_BITS) - 1)))
+
+
+def _placed(first: Column, i: Column) -> Column:
+    """The upper bits of ``first`` with a number that has no others than the lower ones."""
+    return first.bitwiseAND(F.lit(-(1 << OWN_BITS))).bitwiseOR(i)
+
+
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _long(hashes: Column) -> Column:
+    """Null for lines of fewer than five words."""
+    return F.when(F.size(hashes) >= WIDTH, hashes)
 
 
 def _hashes(words: Column) -> Column:
     """The hash of each word, null for lines of fewer than five."""
-    return F.when(F.size(words) >= WIDTH, F.transform(words, lambda w: F.xxhash64(w)))
+    return F.when(F.size(words) >= WIDTH, _word_hashes(words))
 
 
 def _token(i: Column) -> Column:
@@ -106,7 +119,7 @@ def _prefix(lines: DataFrame) -> DataFrame:
     n is counted with repeats, which makes the prefix longer and never shorter.
     """
     n = F.size("h") - (WIDTH - 1)
-    places = F.transform(F.slice("h", F.lit(1), n), lambda x, i: _joined(x, i.cast("long")))
+    places = F.transform(F.slice("h", F.lit(1), n), lambda x, i: _placed(x, i.cast("long")))
     least = F.ceil(n * 4 / 5 - 1e-9)
     out = lines.withColumn("need", (n - least + F.least(least, F.lit(SHARED))).cast("int")).withColumn("places", F.sort_array(places))
     last, following = (_upper(F.get("places", F.col("need") - k)) for k in (1, 0))
@@ -117,8 +130,9 @@ def _prefix(lines: DataFrame) -> DataFrame:
     return out.withColumn("prefix", F.when(F.size("built") <= F.col("need"), F.col("built")).otherwise(F.slice(F.sort_array("built"), F.lit(1), F.col("need"))))
 
 
-def _class(words: Column) -> list[Column]:
-    return [F.xxhash64(words).alias("k1"), F.xxhash64(F.lit(1), words).alias("k2")]
+def _class(hashes: Column) -> list[Column]:
+    """128 bits of the hashes of a line's words; the words themselves need not be kept for it."""
+    return [F.xxhash64(hashes).alias("k1"), F.xxhash64(F.lit(1), hashes).alias("k2")]
 
 
 def _few(rows: DataFrame, derived: DataFrame | None = None) -> DataFrame:
@@ -151,8 +165,9 @@ class LineDedup:
         repeated = stage(self.documents.groupBy(_doc().alias("__vw_repeated")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("__vw_repeated"), "line-ids")
         self.repeated, self.n_repeated = repeated, repeated.count()
         split = _words(_lines(self._keyed(self.documents, "doc", "row")))
-        sized = split.withColumn("words", F.when(F.get("words", F.lit(0)) != "", F.col("words")))  # an empty line has no words
-        hashed = sized.select(*PLACE, *_class(F.col("words")), F.col("words").isNotNull().alias("used"), _hashes(F.col("words")).alias("h"))
+        hashed = split.select(*PLACE, _word_hashes(F.col("words")).alias("all"))
+        empty = F.get("all", F.lit(0)) == F.xxhash64(F.lit(""))  # the one word of an empty line
+        hashed = hashed.select(*PLACE, *_class(F.col("all")), F.coalesce(~empty, F.lit(False)).alias("used"), _long(F.col("all")).alias("h"))
         built = stage(_prefix(hashed).select(*PLACE, "k1", "k2", "prefix", "used"), "lines-built")
         members = built.filter("used").groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row", "prefix")).alias("f"), F.count(F.lit(1)).alias("members"))
         classes = stage(members.select("k1", "k2", "members", "f.*"), "line-classes")
@@ -191,12 +206,13 @@ class LineDedup:
     def _matches(self, later: DataFrame) -> DataFrame:
         """(doc, row, line) of the first lines of classes that match an earlier class."""
         first = [F.col(f"l_{c}").alias(c) for c in PLACE]
-        sets = self._sets(later.select(*PLACE).unionByName(later.select(*first)).distinct())
         both = [*PLACE, *[f"l_{c}" for c in PLACE]]
+        met = stage(later.select(*both).distinct(), "line-met")
+        sets = self._sets(met.select(*PLACE).unionByName(met.select(*first)).distinct())
         # The first class with the token, once for each pair of classes whatever number of tokens they share.
         own = sets.select(*PLACE, "n", F.col("n").alias("held"), "parity")
-        pairs = later.filter("doc <> l_doc or line <> l_line").select(*both).distinct()
-        done = self._verified(stage(self._near(pairs, own).select(*both), "line-near"), sets)
+        done = self._verified(stage(self._near(met.filter("doc <> l_doc or line <> l_line"), own).select(*both), "line-near"), sets)
+        drop(met)
         settled = [done]
         # The others, where a token has more than two classes, of which one is open.
         many = later.filter("rank > 2").join(_few(done), PLACE, "left_anti").select("token").distinct()
@@ -209,7 +225,9 @@ class LineDedup:
         places = F.col("held") - F.ceil(F.col("n") * 4 / 5 - 1e-9) + 1
         ranked = shared.join(own, PLACE).withColumn("place", F.row_number().over(Window.partitionBy(*PLACE).orderBy("token")))
         few = stage(ranked.filter(F.col("place") <= places).drop("place"), "line-shared")
-        drop(shared, own, some)
+        # The rounds read only the sets that may still match.
+        whole, sets = sets, stage(sets.join(_few(own, own.select(*PLACE)), PLACE, "left_semi"), "line-open-sets")
+        drop(shared, own, some, whole)
         # In growing stretches: most of a group of near copies is settled by the first of them.
         open_, low, high = stage(few.filter("rank > 2").join(done, PLACE, "left_anti"), "line-open"), 2, 2
         while top := open_.agg(F.max("rank")).first()[0]:
