@@ -189,3 +189,40 @@ def test_a_line_keeps_hashes_and_no_words(make):
     built = ld._words(ld._lines(make(rows).selectExpr("doc_id doc", "0L row", "text")))
     keys = [(r.k1, r.k2) for r in built.select("doc", "line", *ld._class(ld._word_hashes(ld.F.col("words")))).orderBy("doc", "line").collect()]
     assert keys[0] == keys[1] != keys[2] and keys[3] == keys[4] == keys[6] != keys[5]
+
+
+def test_prefixes_are_written_once(make, docs, monkeypatch):
+    # Only the table of lines holds prefixes; classes are found without them.
+    written, real = [], ld.stage
+
+    def stage(df, name):
+        written.append((name, df.columns))
+        return real(df, name)
+
+    monkeypatch.setattr(ld, "stage", stage)
+    ld.LineDedup(make(docs))
+    assert [name for name, columns in written if "prefix" in columns] == ["lines"]
+
+
+def test_hashes_do_not_depend_on_white_space(make):
+    rows = list(enumerate(["a b c d e", " a b  c d e ", "a b\tc d e", "A B c\r\x0bd\x0ce\r", "  a b c d e", "", " \t", "b a c d e", None]))
+    hashes = [r["all"] for r in ld._hashed(make(rows).selectExpr("doc_id", "text words")).orderBy("doc_id").collect()]
+    assert all(h == hashes[0] and len(h) == 5 for h in hashes[:5])
+    assert len(hashes[5]) == 1 and hashes[5] == hashes[6] and sorted(hashes[7]) == sorted(hashes[0]) and hashes[7] != hashes[0] and hashes[8] is None
+
+
+def test_equal_rows_give_a_line_once(make, monkeypatch):
+    words = [f"x{i}" for i in range(30)]
+    rows = [(None, " ".join(words))] * 3 + [(3, " ".join([*words, "end"])), (3, "a line of its own that nothing matches")]
+    later, real = [], ld.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        if name == "line-later":
+            later.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(ld, "stage", stage)
+    got = ld.LineDedup(make(rows)).apply(make(rows)).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["3", "None", "None", "None"]
+    assert later and all(r.rank == 2 and r.doc == 3 and r.l_doc == ld.FIRST and r.line == r.l_line == 0 and r.l_row != 0 for r in later)

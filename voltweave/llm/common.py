@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import drop, shared_dir, stage
+from ..plans.staging import drop, plain, shared_dir, stage
 
-__all__ = ["WORD", "drop", "filesystem", "grow", "new_path", "publish", "rows", "settle", "shared_dir", "shrink", "stage"]
+__all__ = ["WORD", "drop", "filesystem", "grow", "new_path", "plain", "publish", "rows", "settle", "shared_dir", "shrink", "stage"]
 
 #: Regular expression of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

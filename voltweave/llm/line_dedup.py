@@ -24,7 +24,7 @@ number in the document.  The layout of what is left stays.
    parity sketches drop pairs whose sets differ too much.
 5. Similarities are verified on whole sets, built for candidate lines only.
 
-Tables of a step are deleted once the next ones are written.
+Tables of a step are deleted once the next ones are written; the lines' is kept.
 
 Defined cases: null text has no lines and stays null; a null doc_id comes first;
 rows that share a doc_id are told apart by a hash of their texts: lines with one
@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, stage
+from .common import drop, plain, stage
 
 WIDTH = 5
 #: Tokens of their prefixes that two lines which match share at least.  Up to 4: sets of as few tokens match only if they are equal.
@@ -62,13 +62,22 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _words(lines: DataFrame) -> DataFrame:
-    """``words``: of the line; those that are parted by single blanks alone, as most are, need no pattern."""
-    line, low = F.col("words"), F.lower("words")
-    odd = [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")] + [F.startswith(line, F.lit(" ")), F.endswith(line, F.lit(" "))]
-    any_odd = odd[0]
-    for x in odd[1:]:
-        any_odd = any_odd | x
-    return lines.withColumn("words", F.when(any_odd, F.split(F.trim(low, F.lit(" \t\x0b\x0c\r")), SPACE)).otherwise(F.split(low, " ")))
+    """``words``: of the line, parted by a pattern."""
+    return lines.withColumn("words", F.split(F.trim(F.lower("words"), F.lit(" \t\x0b\x0c\r")), SPACE))
+
+
+def _hashed(lines: DataFrame) -> DataFrame:
+    """``all``, the hash of each word, instead of the line ``words``.
+
+    Words that are parted by single blanks alone, as most are, need no pattern; an empty
+    word or other white space tells where they are not.
+    """
+    parted = lines.withColumn("all", _word_hashes(F.split(F.lower("words"), " ")))
+    odd = F.array_contains("all", F.xxhash64(F.lit("")))
+    for x in ("\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(F.col("words"), F.lit(x))
+    again = F.when(F.col("odd"), _word_hashes(F.col("words"))).otherwise(F.col("all"))
+    return _words(parted.withColumn("odd", odd)).withColumn("all", again).drop("words", "odd")
 
 
 def _upper(x: Column) -> Column:
@@ -99,15 +108,19 @@ def _hashes(words: Column) -> Column:
     return F.when(F.size(words) >= WIDTH, _word_hashes(words))
 
 
-def _token(i: Column) -> Column:
-    """The shingle that begins with word ``i`` of the column ``h`` of hashes."""
-    h = F.col("h")
-    return _joined(h[i], F.xxhash64(*[h[i + k] if k else h[i] for k in range(WIDTH)]))
+def _shingles(places: Column) -> Column:
+    """The shingles that begin with the words ``places`` of the column ``h`` of hashes, which is read from the row once."""
+
+    def token(h: Column, i: Column) -> Column:
+        first = F.get(h, i)
+        return _joined(first, F.xxhash64(first, *[F.get(h, i + k) for k in range(1, WIDTH)]))
+
+    return F.get(F.transform(F.array("h"), lambda h: F.transform(places, lambda i: token(h, i))), F.lit(0))
 
 
 def _tokens(lines: DataFrame) -> DataFrame:
     """Adds the set ``tokens`` of lines with hashes ``h``; each step is a column of its own, so it is computed once."""
-    return lines.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - WIDTH), _token)))
+    return lines.withColumn("tokens", F.array_distinct(_shingles(F.sequence(F.lit(0), F.size("h") - WIDTH))))
 
 
 def _prefix(lines: DataFrame) -> DataFrame:
@@ -119,12 +132,12 @@ def _prefix(lines: DataFrame) -> DataFrame:
     n is counted with repeats, which makes the prefix longer and never shorter.
     """
     n = F.size("h") - (WIDTH - 1)
-    places = F.transform(F.slice("h", F.lit(1), n), lambda x, i: _placed(x, i.cast("long")))
+    places = F.slice(F.transform("h", lambda x, i: _placed(x, i.cast("long"))), F.lit(1), n)
     least = F.ceil(n * 4 / 5 - 1e-9)
     out = lines.withColumn("need", (n - least + F.least(least, F.lit(SHARED))).cast("int")).withColumn("places", F.sort_array(places))
     last, following = (_upper(F.get("places", F.col("need") - k)) for k in (1, 0))
     out = out.withColumn("taken", F.when(last == following, F.filter("places", lambda x: _upper(x) <= last)).otherwise(F.slice("places", F.lit(1), F.col("need"))))
-    tokens = lambda places: F.array_distinct(F.transform(F.transform(places, lambda x: x.bitwiseAND(F.lit((1 << OWN_BITS) - 1))), _token))
+    tokens = lambda places: F.array_distinct(_shingles(F.transform(places, lambda x: x.bitwiseAND(F.lit((1 << OWN_BITS) - 1)).cast("int"))))
     out = out.withColumn("first", tokens(F.col("taken")))
     out = out.withColumn("built", F.when((F.size("first") < F.col("need")) & (F.size("taken") < F.size("places")), tokens(F.col("places"))).otherwise(F.col("first")))
     return out.withColumn("prefix", F.when(F.size("built") <= F.col("need"), F.col("built")).otherwise(F.slice(F.sort_array("built"), F.lit(1), F.col("need"))))
@@ -164,18 +177,16 @@ class LineDedup:
         self.documents = documents.select("doc_id", "text")
         repeated = stage(self.documents.groupBy(_doc().alias("__vw_repeated")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("__vw_repeated"), "line-ids")
         self.repeated, self.n_repeated = repeated, repeated.count()
-        split = _words(_lines(self._keyed(self.documents, "doc", "row")))
-        hashed = split.select(*PLACE, _word_hashes(F.col("words")).alias("all"))
+        hashed = _hashed(_lines(self._keyed(self.documents, "doc", "row")))
         empty = F.get("all", F.lit(0)) == F.xxhash64(F.lit(""))  # the one word of an empty line
         hashed = hashed.select(*PLACE, *_class(F.col("all")), F.coalesce(~empty, F.lit(False)).alias("used"), _long(F.col("all")).alias("h"))
-        built = stage(_prefix(hashed).select(*PLACE, "k1", "k2", "prefix", "used"), "lines-built")
-        members = built.filter("used").groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row", "prefix")).alias("f"), F.count(F.lit(1)).alias("members"))
-        classes = stage(members.select("k1", "k2", "members", "f.*"), "line-classes")
-        self.lines = stage(built.drop("prefix"), "lines")
-        drop(built)
-        later = self._later(classes)
-        firsts = stage(classes.drop("prefix"), "line-firsts")
-        drop(classes)
+        built = _prefix(hashed).select(*PLACE, "k1", "k2", "prefix", "used")
+        #: All lines, with their prefixes, which only the first lines of classes need.
+        self.lines = stage(plain(built, "k1", "k2", "prefix.list.element"), "lines")
+        used = self.lines.filter("used")
+        members = used.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line", "row")).alias("f"), F.count(F.lit(1)).alias("members"))
+        firsts = stage(members.select("k1", "k2", "members", "f.*"), "line-firsts")
+        later = self._later(self._firsts(used, firsts))
         removed = stage(self._matches(later), "line-removed")
         several = firsts.join(_few(removed).withColumn("gone", F.lit(True)), PLACE, "left").filter("members > 1 or gone")
         #: Classes of more than one line and those that go, with their first line.
@@ -191,18 +202,33 @@ class LineDedup:
         keyed = keyed.join(ids, F.col(doc) == F.col("__vw_repeated"), "left")
         return keyed.withColumn(row, F.when(F.col("__vw_repeated").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("__vw_repeated")
 
-    def _later(self, classes: DataFrame) -> DataFrame:
-        """token, place, rank, l_place: the candidates that hold a token of their prefix after another; l_place is the first of all."""
-        of_token, of_line = Window.partitionBy("token"), Window.partitionBy(*PLACE)
-        many = lambda rows, of, least: rows.withColumn("c", F.count(F.lit(1)).over(of)).filter(F.col("c") >= least).drop("c")
-        spread = classes.select(F.explode("prefix").alias("token"), *PLACE, F.least(F.size("prefix"), F.lit(SHARED)).alias("least"))
-        shared = stage(many(spread, of_token, 2), "line-tokens")
-        order = of_token.orderBy("doc", "line", "row")
-        ranked = many(shared, of_line, F.col("least")).select("token", *PLACE, F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in PLACE])
-        out = stage(ranked.filter("rank > 1"), "line-later")
-        drop(shared)
+    def _firsts(self, used: DataFrame, firsts: DataFrame) -> DataFrame:
+        """Places and prefixes of the first lines of all classes; only classes of several lines are looked up."""
+        several = firsts.filter("members > 1").select("k1", "k2", *[F.col(c).alias(f"f_{c}") for c in PLACE])
+        same = " and ".join(f"{c} = f_{c}" for c in PLACE)
+        out = used.join(_few(several), ["k1", "k2"], "left").filter(f"f_doc is null or ({same})").select(*PLACE, "prefix")
+        if self.n_repeated:  # equal rows are one
+            out = out.filter("row = 0").unionByName(out.filter("row <> 0").dropDuplicates(PLACE))
         return out
 
+    def _later(self, firsts: DataFrame) -> DataFrame:
+        """token, place, rank, l_place: the candidates that hold a token of their prefix after another; l_place is the first of all.
+
+        Every token is exchanged here, so its rows are kept short: ``at`` is the line's number with the
+        number of tokens it must share in the low bits, and ``row`` comes along only where ids repeat.
+        """
+        place = ["doc", "at", "row"] if self.n_repeated else ["doc", "at"]
+        of_token, of_line = Window.partitionBy("token"), Window.partitionBy(*place)
+        many = lambda rows, of, least: rows.withColumn("c", F.count(F.lit(1)).over(of)).filter(F.col("c") >= least).drop("c")
+        at = F.shiftleft(F.col("line").cast("long"), 3).bitwiseOR(F.least(F.size("prefix"), F.lit(SHARED)).cast("long"))
+        shared = many(firsts.withColumn("at", at).select(F.explode("prefix").alias("token"), *place), of_token, 2)
+        order = of_token.orderBy(*place)
+        ranked = many(shared, of_line, F.col("at").bitwiseAND(F.lit(7))).select("token", *place, F.row_number().over(order).alias("rank"), *[F.first(c).over(order).alias(f"l_{c}") for c in place])
+        line = {f"{x}line": F.shiftright(f"{x}at", 3).cast("int") for x in ("", "l_")}
+        row = {} if self.n_repeated else {f"{x}row": F.lit(0).cast("long") for x in ("", "l_")}
+        later = ranked.filter("rank > 1").withColumns(line | row)
+        return stage(later.select("token", *PLACE, "rank", *[f"l_{c}" for c in PLACE]), "line-later")
+
     def _matches(self, later: DataFrame) -> DataFrame:
         """(doc, row, line) of the first lines of classes that match an earlier class."""
         first = [F.col(f"l_{c}").alias(c) for c in PLACE]
@@ -272,8 +298,9 @@ class LineDedup:
         wanted_lines = F.transform("lines", lambda k: F.struct(k.alias("line"), F.get("split", k).alias("words")))
         lines = split.select("doc", "row", F.explode(wanted_lines).alias("l")).select("doc", "row", "l.*").filter("words is not null")
         parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-        whole = _tokens(_words(lines).filter(F.size("words") >= WIDTH).withColumn("h", _hashes(F.col("words"))))
-        out = stage(whole.select(F.monotonically_increasing_id().alias("sid"), *PLACE, F.size("tokens").alias("n"), "tokens", parity.alias("parity")), "line-sets")
+        whole = _tokens(_hashed(lines).filter(F.size("all") >= WIDTH).withColumnRenamed("all", "h"))
+        out = whole.select(F.monotonically_increasing_id().alias("sid"), *PLACE, F.size("tokens").alias("n"), "tokens", parity.alias("parity"))
+        out = stage(plain(out, "tokens.list.element"), "line-sets")
         drop(wanted)
         return out
 

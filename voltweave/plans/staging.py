@@ -35,10 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/voltweave-{app}"
 
 
+def plain(df: DataFrame, *columns: str) -> DataFrame:
+    """``df``, whose ``columns`` (paths in Parquet) stage() writes without a dictionary: it makes hashes no smaller and costs time."""
+    df._plain = columns
+    return df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: its lineage is cut and its rows are computed once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in getattr(df, "_plain", ())}).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
